@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from quillon.llm.packing import op2_packing
 from quillon.llm.sharding import op4_jump_sharding
+from quillon.llm.token_store import op1_token_store
 
 QUERIES = {
+    "op1_token_store": op1_token_store,
+    "op2_packing": op2_packing,
     "op4_jump_sharding": op4_jump_sharding,
 }
 ORACLES: dict[str, str] = {}
