@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillon.llm.piece_codec import op6_piece_codec
 from quillon.llm.packing import op2_packing
 from quillon.llm.sharding import op4_jump_sharding
 from quillon.llm.token_store import op1_token_store
@@ -10,5 +11,6 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_packing": op2_packing,
     "op4_jump_sharding": op4_jump_sharding,
+    "op6_piece_codec": op6_piece_codec,
 }
 ORACLES: dict[str, str] = {}
