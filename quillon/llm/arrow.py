@@ -28,3 +28,12 @@ def binaries(parts: list[bytes]) -> pa.Array:
 
 def lists(values: pa.Array, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), values)
+
+
+def string_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of a null-free large_string array end to end, and n + 1 bounds."""
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+    lo, hi = (int(bounds[0]), int(bounds[-1])) if len(bounds) else (0, 0)
+    return raw[lo:hi], bounds - lo

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillon.llm.language_id import op9_language_id
 from quillon.llm.piece_codec import op6_piece_codec
 from quillon.llm.packing import op2_packing
 from quillon.llm.sharding import op4_jump_sharding
@@ -12,5 +13,6 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_jump_sharding": op4_jump_sharding,
     "op6_piece_codec": op6_piece_codec,
+    "op9_language_id": op9_language_id,
 }
 ORACLES: dict[str, str] = {}
