@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillon.llm.language_id import op9_language_id
 from quillon.llm.piece_codec import op6_piece_codec
 from quillon.llm.packing import op2_packing
+from quillon.llm.quality_rules import op5_ngram_quality
 from quillon.llm.sharding import op4_jump_sharding
 from quillon.llm.token_store import op1_token_store
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_packing": op2_packing,
     "op4_jump_sharding": op4_jump_sharding,
+    "op5_ngram_quality": op5_ngram_quality,
     "op6_piece_codec": op6_piece_codec,
     "op9_language_id": op9_language_id,
 }
