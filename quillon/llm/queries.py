@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillon.llm.language_id import op9_language_id
+from quillon.llm.line_dedup import op7_line_dedup
 from quillon.llm.piece_codec import op6_piece_codec
 from quillon.llm.packing import op2_packing
 from quillon.llm.quality_rules import op5_ngram_quality
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_jump_sharding": op4_jump_sharding,
     "op5_ngram_quality": op5_ngram_quality,
     "op6_piece_codec": op6_piece_codec,
+    "op7_line_dedup": op7_line_dedup,
     "op9_language_id": op9_language_id,
 }
 ORACLES: dict[str, str] = {}
