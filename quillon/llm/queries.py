@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillon.llm.jaccard_join import JACCARD_SQL, op3_jaccard_join
 from quillon.llm.language_id import op9_language_id
 from quillon.llm.line_dedup import op7_line_dedup
 from quillon.llm.piece_codec import op6_piece_codec
@@ -13,10 +14,13 @@ from quillon.llm.token_store import op1_token_store
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_packing": op2_packing,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_jump_sharding": op4_jump_sharding,
     "op5_ngram_quality": op5_ngram_quality,
     "op6_piece_codec": op6_piece_codec,
     "op7_line_dedup": op7_line_dedup,
     "op9_language_id": op9_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_jaccard_join": JACCARD_SQL,
+}
