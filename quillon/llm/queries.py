@@ -10,6 +10,7 @@ from quillon.llm.packing import op2_packing
 from quillon.llm.quality_rules import op5_ngram_quality
 from quillon.llm.sharding import op4_jump_sharding
 from quillon.llm.token_store import op1_token_store
+from quillon.llm.topk_search import TOPK_SQL, op10_topk_search
 
 QUERIES = {
     "op1_token_store": op1_token_store,
@@ -20,7 +21,9 @@ QUERIES = {
     "op6_piece_codec": op6_piece_codec,
     "op7_line_dedup": op7_line_dedup,
     "op9_language_id": op9_language_id,
+    "op10_topk_search": op10_topk_search,
 }
 ORACLES: dict[str, str] = {
     "op3_jaccard_join": JACCARD_SQL,
+    "op10_topk_search": TOPK_SQL,
 }
