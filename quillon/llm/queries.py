@@ -6,6 +6,7 @@ from quillon.llm.jaccard_join import JACCARD_SQL, op3_jaccard_join
 from quillon.llm.language_id import op9_language_id
 from quillon.llm.line_dedup import op7_line_dedup
 from quillon.llm.piece_codec import op6_piece_codec
+from quillon.llm.lm_scoring import op8_lm_scoring
 from quillon.llm.packing import op2_packing
 from quillon.llm.quality_rules import op5_ngram_quality
 from quillon.llm.sharding import op4_jump_sharding
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_ngram_quality": op5_ngram_quality,
     "op6_piece_codec": op6_piece_codec,
     "op7_line_dedup": op7_line_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_language_id": op9_language_id,
     "op10_topk_search": op10_topk_search,
 }
