@@ -1,11 +1,66 @@
-"""Corpus pipeline: stages are added as operators arrive."""
+"""Corpus pipeline over ``documents``: language, quality, lines, near copies, packing.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; its decisions take effect.  All stages but the last return the columns
+of ``documents``; the last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import jaccard_join, language_id, line_dedup, packing, quality_rules
+from quillon.llm.common import Workspace, documents, tokenizer_file
+
+#: Predictions below this score count as no language.
+MIN_LANGUAGE_SCORE = 0.25
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a recognised language; a missing label takes
+    the predicted one."""
+    net = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    found = language_id.predict(docs, net, ("_lang_pred", "_score"))
+    found = found.where((F.col("_lang_pred") != language_id.UNDETERMINED) & (F.col("_score") >= MIN_LANGUAGE_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(docs.columns)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that fail the base rules or leave their language's band."""
+    return quality_rules.judge(docs, docs.columns, "_q_").where("_q_kept").select(docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops repeated lines; ``n_chars`` follows the text."""
+    clean = line_dedup.dedup_lines(docs, "_n_dropped")
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies: that of the least doc_id."""
+    return jaccard_join.keep_one(docs).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences."""
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("quality_rules", keep_quality),
+    ("line_dedup", dedup_lines),
+    ("jaccard_join", join_near_copies),
+    ("packing", pack_sequences),
+]
+
+#: Trained models and merges are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, work = documents(spark, sf_dir), Workspace(spark, "pipeline")
+    for name, stage in STAGES[:-1]:  # each stage's rows are written and read again
+        docs = work.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -316,10 +316,25 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     least = placed.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     alone = placed.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     out = placed.where("n_shingles > 0").join(least, "component").withColumn("component_id", F.col("least"))
-    columns = ["doc_id", "rk", "n_shingles", "set_key", "component_id"]
+    columns = ["doc_id", "rk", "n_shingles", "set_key", "component", "component_id"]
     return out.select(*columns).unionByName(alone.select(*columns))
 
 
+def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each group of linked or equal sets: the least
+    (doc_id, row key), and of equal rows one.  Rows with empty sets all stay."""
+    spark = docs.sparkSession
+    work = Workspace(spark, "keep_one")
+    found = work.table(join(docs.select("doc_id", "text"), width, percent), "found")
+    place = F.struct(F.col("doc_id").isNotNull().alias("set"), "doc_id", "rk")
+    stay = found.where("n_shingles > 0").groupBy("component").agg(F.min(place).alias("stay")).select(F.col("stay.rk").alias("rk"))
+    keyed = docs.withColumn("_rk", F.expr(ROW_KEY))
+    empty = found.where("n_shingles = 0").select("rk").distinct()
+    single = keyed.join(stay.select(F.col("rk").alias("_rk")), "_rk", "left_semi").dropDuplicates(["_rk"])
+    without = keyed.join(empty.select(F.col("rk").alias("_rk")), "_rk", "left_semi")
+    return single.unionByName(without).drop("_rk")
+
+
 def op3_jaccard_join(spark, sf_dir):
     found = join(documents(spark, sf_dir).select("doc_id", "text"), width=3, percent=90)
     return found.select("doc_id", "n_shingles", "component_id")

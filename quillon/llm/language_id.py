@@ -188,9 +188,10 @@ def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, seed: int
     return net
 
 
-def predict(docs: DataFrame, net: Network | None) -> DataFrame:
-    """All columns of ``docs`` and lang_pred, score; clashing names are replaced."""
-    docs = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, net: Network | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs`` and the prediction and its score under ``names``,
+    which replace columns of those names."""
+    docs, outputs = docs.drop(*names), names
 
     def run(batches):
         for whole in batches:
@@ -212,10 +213,10 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
                     scores = np.where(lettered, p, 0.0)
                     names = [net.labels[k] if ok else UNDETERMINED for k, ok in zip(best, lettered)]
                 arrays = [b.column(c) for c in b.schema.names] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names, *outputs])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{fields}, `{outputs[0]}` string, `{outputs[1]}` double")
 
 
 def held_out(doc_id: Column) -> Column:

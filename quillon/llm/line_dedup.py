@@ -258,9 +258,9 @@ def _near(sims: np.ndarray, table: int):
         yield i[own] + at, j[own]
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with repeated lines gone from ``text``, and
-    ``n_dropped``."""
+def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
+    """All columns of ``docs`` with repeated lines gone from ``text``, and their
+    number under ``count_name``, which replaces a column of that name."""
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "line_dedup")
     found = work.table(occurrences(docs), "lines")
     place = F.struct(F.col("doc_id").isNotNull().alias("set"), "doc_id", "rk", "line")
@@ -333,14 +333,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     stay = grouped.groupBy("component").agg(F.min("first").alias("stay"))
     fate = grouped.join(stay, "component").select("key", "stay")
     gone = found.join(fate, "key").where("not (rk = stay.rk and line = stay.line)")
-    drops = work.table(gone.groupBy("rk").agg(F.collect_set("line").alias("drop")), "drops")
-
-    tagged = passes(spark, bit_filter(drops, "rk"), docs.withColumn("_rk", F.expr(ROW_KEY)), "_rk")
-    clean = tagged.where("not _pass").drop("_rk", "_pass").withColumn("n_dropped", F.lit(0))
-    some = tagged.where("_pass").join(drops, tagged["_rk"] == drops["rk"], "left")
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("drop"), i))
-    some = some.withColumn("text", F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    some = some.withColumn("n_dropped", F.coalesce(F.size("drop"), F.lit(0)) * F.col("drop").isNotNull().cast("int"))
+    drops = work.table(gone.groupBy(F.col("rk").alias("_d_rk")).agg(F.collect_set("line").alias("_d_lines")), "drops")
+
+    tagged = passes(spark, bit_filter(drops, "_d_rk"), docs.drop(count_name).withColumn("_rk", F.expr(ROW_KEY)), "_rk")
+    clean = tagged.where("not _pass").drop("_rk", "_pass").withColumn(count_name, F.lit(0))
+    some = tagged.where("_pass").join(drops, F.col("_rk") == F.col("_d_rk"), "left")
+    hit, gone_lines = F.col("_d_lines").isNotNull(), F.col("_d_lines")
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone_lines, i))
+    some = some.withColumn("text", F.when(hit, F.array_join(left, "\n")).otherwise(F.col("text")))
+    some = some.withColumn(count_name, F.when(hit, F.size(gone_lines)).otherwise(F.lit(0)))
     return clean.unionByName(some.select(*clean.columns))
 
 
