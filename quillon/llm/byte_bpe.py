@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries kept per worker (about 200 bytes each) before the cache restarts.
-CACHE_ENTRIES = 600_000
+#: Entries per generation of a worker's caches (about 200 bytes each): when the
+#: young generation is full the old one is dropped, so frequent words stay.
+CACHE_ENTRIES = 500_000
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Letters, then marks without the apostrophe: two pre-tokens at most.
@@ -49,7 +50,9 @@ class ByteBpe:
         self.symbols = _byte_symbols()
         self.cache_entries = cache_entries
         self.newline = self._whole("\n")
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -64,11 +67,20 @@ class ByteBpe:
         if not letters.isascii():
             letters = letters.encode().decode("latin-1").translate(self.symbols)
         space = "" if broken else self.symbols[32]
-        ids = [t.id for t in self.model.tokenize(space + letters)] if letters else []
-        if marks or not letters:
-            first = space if not letters else ""
-            ids += [t.id for t in self.model.tokenize(first + marks)] if first + marks else []
-        return (self.newline if broken else b"") + array("I", ids).tobytes()
+        if letters:
+            ids = self._stem(space + letters) + (self._stem(marks) if marks else b"")
+        else:
+            ids = self._stem(space + marks)
+        return self.newline + ids if broken else ids
+
+    def _stem(self, symbols: str) -> bytes:
+        """Ids of one pre-token; words that differ in marks only share it."""
+        ids = self.stems.get(symbols)
+        if ids is None:
+            if len(self.stems) > self.cache_entries:
+                self.stems = {}
+            ids = self.stems[symbols] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes() if symbols else b""
+        return ids
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an array's texts, and where each text begins (n + 1 offsets)."""
@@ -84,14 +96,14 @@ class ByteBpe:
         offsets = lists.offsets.to_numpy()
         words = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         keys = words.dictionary.to_pylist()
-        if len(self.cache) > self.cache_entries:
-            self.cache = {}
-        cache, pieces = self.cache, []
-        for k in keys:
-            got = cache.get(k)
+        if len(self.young) > self.cache_entries:
+            self.old, self.young = self.young, {}
+        young, old, piece = self.young, self.old, self._piece
+        pieces = list(map(young.get, keys))
+        for i, got in enumerate(pieces):
             if got is None:
-                got = cache[k] = self._piece(k)
-            pieces.append(got)
+                k = keys[i]
+                pieces[i] = young[k] = old.get(k) or piece(k)
         lens = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
         store = np.frombuffer(b"".join(pieces), dtype="<u4")
         starts = np.cumsum(lens) - lens
@@ -101,7 +113,8 @@ class ByteBpe:
         n_ids[first] -= len(self.newline) // 4
         begin[first] += len(self.newline) // 4
         ends = np.cumsum(n_ids)
-        ids = store[np.repeat(begin - (ends - n_ids), n_ids) + np.arange(ends[-1] if len(ends) else 0)]
+        total = int(ends[-1]) if len(ends) else 0
+        ids = store[np.repeat((begin - (ends - n_ids)).astype(np.int32), n_ids) + np.arange(total, dtype=np.int32)]
         bounds = np.concatenate([[0], ends])[np.append(first, len(at))]
         if odd.any():
             parts, sizes = [], np.diff(bounds)

@@ -35,7 +35,7 @@ from quillon.llm.common import Workspace, documents, tokenizer_file
 
 END_ID = 0
 #: Chunk sizes in ids: the mean comes from the mask of the rolling hash.
-MIN_CHUNK, MASK_BITS, MAX_CHUNK = 64, 8, 2048
+MIN_CHUNK, MASK_BITS, MAX_CHUNK = 64, 9, 4096
 WINDOW = 16
 DIGEST = 16
 #: Ids a bucket of documents should hold.
@@ -179,29 +179,35 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, buck
     dealt = rows.unionByName(side).repartition(min(n_buckets, 4096), "bucket").sortWithinPartitions("bucket", "doc_id", "digest", "uid", "tag")
 
     def compact(batches):
-        bucket_now, start, note = None, 0, ([], [])
+        bucket_now, start, note = None, 0, {}
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if r["bucket"] != bucket_now:
-                    bucket_now, start = r["bucket"], starts[r["bucket"]]
-                if r["tag"] == 0:
-                    note = (r["refs"], r["shared"])
-                    continue
-                refs, shared = note
-                note = ([], [])
-                payload = r["payload"]
-                leaves = [r["hashes"][i : i + DIGEST] for i in range(0, len(r["hashes"]), DIGEST)]
-                if refs:
-                    gone, width = set(refs), len(payload) // max(r["n_tokens"], 1)
-                    ends = np.cumsum([0, *r["sizes"]]) * width
-                    payload = b"".join(payload[ends[i] : ends[i + 1]] for i in range(len(leaves)) if i not in gone)
-                out.append((r["bucket"], r["doc_id"], r["uid"], start, r["n_tokens"], r["sizes"], r["hashes"], merkle_root(leaves), refs, shared, payload))
-                start += r["n_tokens"]
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=t) for c, t in zip(zip(*out), RECORD_ARROW)], RECORD_NAMES
-                )
+            tags = batch.column("tag").to_numpy()
+            uids = batch.column("uid").to_pylist()
+            for i in np.flatnonzero(tags == 0).tolist():
+                note[uids[i]] = (batch.column("refs")[i].as_py(), batch.column("shared")[i].as_py())
+            rows = batch.take(pa.array(np.flatnonzero(tags == 1)))
+            if not len(rows):
+                continue
+            starts_of = []
+            for b, n in zip(rows.column("bucket").to_pylist(), rows.column("n_tokens").to_pylist()):
+                if b != bucket_now:
+                    bucket_now, start = b, starts[b]
+                starts_of.append(start)
+                start += n
+            uids = rows.column("uid").to_pylist()
+            refs, shared = zip(*[note.pop(u, ((), ())) for u in uids])
+            payload = rows.column("payload").to_pylist()
+            for i, gone in enumerate(refs):
+                if gone:
+                    gone, sizes = set(gone), rows.column("sizes")[i].as_py()
+                    width = len(payload[i]) // sum(sizes)
+                    ends = [0, *(np.cumsum(sizes) * width).tolist()]
+                    payload[i] = b"".join(payload[i][ends[k] : ends[k + 1]] for k in range(len(sizes)) if k not in gone)
+            columns = {
+                "start": pa.array(starts_of, pa.int64()), "root": rows.column("digest"),
+                "refs": pa.array(refs, pa.list_(pa.int32())), "shared": pa.array(shared, pa.list_(pa.int32())), "payload": pa.array(payload, pa.binary()),
+            }
+            yield pa.RecordBatch.from_arrays([columns[c] if c in columns else rows.column(c) for c in RECORD_NAMES], RECORD_NAMES)
 
     dealt.mapInArrow(compact, RECORD).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/records")
     work.drop("coded")
@@ -211,11 +217,6 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, buck
 
 
 RECORD_NAMES = [f.split()[0] for f in RECORD.split(", ")]
-RECORD_ARROW = [
-    pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(),
-    pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(),
-]
-
 
 def _roots(records: DataFrame) -> DataFrame:
     """Per bucket: counts, and the Merkle root over its documents' roots in order."""
