@@ -1,0 +1 @@
+"""Sources and sinks: frame files, schemas as JSON, and Arrow-backed readers."""
