@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillon.catalog import BLOCK, _blocked, _integers, _sizes_sql, _sql_base, _strings, _strings_sql, _table, _vs, register
 from quillon.functions import control
 from quillon.functions import sizes as S
-from quillon.operators import encode, history
+from quillon.operators import blocks, encode, history
 from quillon.operators.session import Field, Schema
 
 _ORDERS = _sql_base("orders")
@@ -282,3 +282,24 @@ def rel_sessions(spark, sf_dir):
     out = rows.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("w.start").alias("start"), "n")
 
+
+
+@register(
+    "scored_codec",
+    f"""SELECT block, least(plain_bytes, direct_bytes, delta_bytes, for_bytes, delta_for_bytes, delta_delta_bytes, rle_bytes) AS bytes FROM ({_sizes_sql(_ORDERS)})""",
+)
+def scored_codec(spark, sf_dir):
+    """The least size over all codecs: choice by estimated size, without penalties."""
+    sized = blocks.integer_sizes(_integers(spark, sf_dir, "orders"), ["block"], ["ord"], "v")
+    return sized.select("block", F.least(*[c for c in sized.columns if c.endswith("_bytes")]).alias("bytes"))
+
+
+@register(
+    "snapshot_patch_choice",
+    """WITH s AS (SELECT user_id, event_id, event_type, value, props, first_value(event_type) OVER w AS t, first_value(value) OVER w AS v, first_value(props) OVER w AS p,
+  row_number() OVER w > 1 AS later FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 8 PRECEDING AND CURRENT ROW))
+SELECT user_id, event_id, CAST(CAST(event_type IS DISTINCT FROM t AS INTEGER) + CAST(value IS DISTINCT FROM v AS INTEGER) + CAST(props IS DISTINCT FROM p AS INTEGER) AS INTEGER) AS changed FROM s""",
+)
+def snapshot_patch_choice(spark, sf_dir):
+    """Fields that differ from the oldest snapshot still kept (8 back)."""
+    return history.against_snapshot(_table(spark, sf_dir, "events"), ["user_id"], ["event_id"], _EVENT_FIELDS, 8)

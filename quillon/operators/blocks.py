@@ -81,8 +81,7 @@ def integer_sizes(df: DataFrame, block: Names, order: Names, value: str) -> Data
         (S.varint_size(n) + S.varint_size(z(at(0, v)))
          + F.when(n > 1, S.varint_size(z(at(1, d))) + dd_packed).otherwise(F.lit(0))).alias("delta_delta_bytes"),
     )
-    joined = sized.join(rle, block) if block else sized.crossJoin(F.broadcast(rle))
-    return joined
+    return sized.join(rle, block)
 
 
 def with_bits(df: DataFrame, value: str, name: str) -> DataFrame:

@@ -58,3 +58,10 @@ def string_modes(df: DataFrame, key: Names, order: Names, value: str) -> DataFra
     w = Window.partitionBy(*key, value).orderBy(*order)
     again = F.row_number().over(w) > 1
     return df.withColumn("mode", F.when(F.col(value) == "", "EMPTY").when(again, "REF").otherwise("LITERAL"))
+
+
+def against_snapshot(df: DataFrame, key: Names, order: Names, fields: Names, back: int) -> DataFrame:
+    """Per record: fields that differ from the oldest snapshot still kept."""
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(-back, 0)
+    differ = [(~F.col(f).eqNullSafe(F.first(f).over(w))).cast("int") for f in fields]
+    return df.select(*key, *order, sum(differ[1:], differ[0]).alias("changed"))
