@@ -9,6 +9,7 @@ from quillon.functions import control
 from quillon.functions import sizes as S
 from quillon.operators import blocks, encode, history
 from quillon.operators.session import Field, Schema
+from quillon.streaming import run, sessions
 
 _ORDERS = _sql_base("orders")
 
@@ -303,3 +304,30 @@ SELECT user_id, event_id, CAST(CAST(event_type IS DISTINCT FROM t AS INTEGER) +
 def snapshot_patch_choice(spark, sf_dir):
     """Fields that differ from the oldest snapshot still kept (8 back)."""
     return history.against_snapshot(_table(spark, sf_dir, "events"), ["user_id"], ["event_id"], _EVENT_FIELDS, 8)
+
+
+# Streaming twins: the same rows through keyed state.
+
+
+def _events_stream(spark, sf_dir):
+    # a file source reads folders or globs; the table may be either
+    return run.stream_of(spark, f"{sf_dir}/events.parquet*").select("user_id", "event_id", "event_type", "value")
+
+
+@register("stream_patch_roundtrip", "SELECT user_id, event_id, event_type, value FROM events")
+def stream_patch_roundtrip(spark, sf_dir):
+    fields = ["event_type", "value"]
+    _, frames = run.drain(sessions.encode_stream(_events_stream(spark, sf_dir), "user_id", "event_id", fields))
+    source = run.stream_of(spark, frames).select("user_id", "event_id", "frame")
+    got, _ = run.drain(sessions.decode_stream(source, "user_id", "event_id"))
+    items = F.from_json("json", "t string, v array<array<string>>")["v"]
+    of = lambda i, kind: F.get_json_object(items[i][1], "$.v").cast(kind)
+    return got.select("user_id", "event_id", of(0, "string").alias("event_type"), of(1, "double").alias("value"))
+
+
+@register("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY 1 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def stream_tumbling(spark, sf_dir):
+    """Windows that the watermark has closed; beyond the format's own surface."""
+    rows = run.stream_of(spark, f"{sf_dir}/events.parquet*").select(F.col("ts").cast("timestamp").alias("ts"))
+    counts = rows.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
+    return run.drain(counts)[0].select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
