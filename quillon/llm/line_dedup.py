@@ -298,8 +298,9 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
             out = [t.as_py().split("\n")[k] for t, k in zip(texts, b.column("line").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("key"), normalised(pa.array(out, pa.large_string())).cast(pa.string())], ["key", "norm"])
 
-    texts = wanted.join(source.dropDuplicates(["rk"]), "rk").select("key", "line", "text").mapInArrow(extract, "key long, norm string")
-    meeting = near.join(texts, "key").repartition("tab", "block").sortWithinPartitions("tab", "block", "key")
+    texts = wanted.hint("merge").join(source.dropDuplicates(["rk"]), "rk").select("key", "line", "text").mapInArrow(extract, "key long, norm string")
+    # both sides grow with the input: the same plan at every size
+    meeting = near.join(texts.hint("merge"), "key").repartition("tab", "block").sortWithinPartitions("tab", "block", "key")
 
     def verify(batches):
         for table, _ in _groups(batches, ["tab", "block", "key", "sim", "norm"], ["tab", "block"]):
@@ -337,7 +338,7 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
 
     tagged = passes(spark, bit_filter(drops, "_d_rk"), docs.drop(count_name).withColumn("_rk", F.expr(ROW_KEY)), "_rk")
     clean = tagged.where("not _pass").drop("_rk", "_pass").withColumn(count_name, F.lit(0))
-    some = tagged.where("_pass").join(drops, F.col("_rk") == F.col("_d_rk"), "left")
+    some = tagged.where("_pass").join(drops.hint("merge"), F.col("_rk") == F.col("_d_rk"), "left")
     hit, gone_lines = F.col("_d_lines").isNotNull(), F.col("_d_lines")
     left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone_lines, i))
     some = some.withColumn("text", F.when(hit, F.array_join(left, "\n")).otherwise(F.col("text")))
