@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,3 +39,21 @@ def string_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo, hi = (int(bounds[0]), int(bounds[-1])) if len(bounds) else (0, 0)
     return raw[lo:hi], bounds - lo
+
+
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def begin_task(owner: str = "", clear: Callable[[], None] | None = None) -> None:
+    """Called where a task's Python begins: Spark reuses workers, so caches that
+    another operator left are dropped, and freed memory goes back."""
+    others = [name for name in _HELD if name != owner]
+    for name in others:
+        _HELD.pop(name)()
+    if clear is not None:
+        _HELD[owner] = clear
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

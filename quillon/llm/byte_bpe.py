@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quillon.llm.arrow import begin_task
+
 #: Entries per generation of a worker's caches (about 200 bytes each): when the
 #: young generation is full the old one is dropped, so frequent words stay.
 CACHE_ENTRIES = 500_000
@@ -29,6 +31,8 @@ _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Letters, then marks without the apostrophe: two pre-tokens at most.
 _PLAIN = re.compile(rf"([{_LATIN}]*)([!-&(-/:-@\[-`{{-~]*)")
 
+_MARKS = frozenset(",.;:!?")
+
 
 def _byte_symbols() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
@@ -61,11 +65,18 @@ class ByteBpe:
         """Ids of a piece: a line break and a word, or a space and a word."""
         broken = key[:1] == "\n"
         word = key[1:] if broken else key
-        if not (m := _PLAIN.fullmatch(word)):
-            return self.newline + self._whole(word) if broken else self._whole(" " + key)
-        letters, marks = m.groups()
-        if not letters.isascii():
-            letters = letters.encode().decode("latin-1").translate(self.symbols)
+        plain = word.isascii()
+        if plain and word.isalpha():
+            letters, marks = word, ""
+        elif plain and word[-1:] in _MARKS and word[:-1].isalpha():
+            letters, marks = word[:-1], word[-1]
+        else:
+            m = _PLAIN.fullmatch(word)
+            if not m:
+                return self.newline + self._whole(word) if broken else self._whole(" " + key)
+            letters, marks = m.groups()
+            if not letters.isascii():
+                letters = letters.encode().decode("latin-1").translate(self.symbols)
         space = "" if broken else self.symbols[32]
         if letters:
             ids = self._stem(space + letters) + (self._stem(marks) if marks else b"")
@@ -95,7 +106,7 @@ class ByteBpe:
         lists = pc.split_pattern(marked, " ")
         offsets = lists.offsets.to_numpy()
         words = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        keys = words.dictionary.to_pylist()
+        keys = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist
         if len(self.young) > self.cache_entries:
             self.old, self.young = self.young, {}
         young, old, piece = self.young, self.old, self._piece
@@ -131,8 +142,9 @@ class ByteBpe:
 _OPEN: dict[str, ByteBpe] = {}
 
 
-def byte_bpe(path: str) -> ByteBpe:
-    """The worker's encoder for a vocabulary file (kept between tasks)."""
+def byte_bpe(path: str, cache_entries: int = CACHE_ENTRIES) -> ByteBpe:
+    """The worker's encoder for a vocabulary file (kept between its own tasks)."""
+    begin_task("byte_bpe", _OPEN.clear)
     if path not in _OPEN:
-        _OPEN[path] = ByteBpe(path)
+        _OPEN[path] = ByteBpe(path, cache_entries)
     return _OPEN[path]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.arrow import text_slices
+from quillon.llm.arrow import begin_task, text_slices
 from quillon.llm.byte_bpe import byte_bpe
 from quillon.llm.common import Workspace, documents, tokenizer_file
 
@@ -100,7 +100,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, width: int = 2
         encoder, kind = byte_bpe(tokenizer), f"<u{width}"
         mask = np.uint64((1 << MASK_BITS) - 1) << np.uint64(40)
         for whole in batches:
-            for batch in text_slices(whole):
+            for batch in text_slices(whole, limit=8 << 20):
                 ids, bounds = encoder.encode_array(batch.column("text"))
                 bounds = np.asarray(bounds)
                 n = len(batch)
@@ -179,6 +179,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, buck
     dealt = rows.unionByName(side).repartition(min(n_buckets, 4096), "bucket").sortWithinPartitions("bucket", "doc_id", "digest", "uid", "tag")
 
     def compact(batches):
+        begin_task()
         bucket_now, start, note = None, 0, {}
         for batch in batches:
             tags = batch.column("tag").to_numpy()
@@ -299,10 +300,12 @@ def read(spark: SparkSession, path: str, digest_only: bool = False) -> DataFrame
         )
 
     def alone(batches):
+        begin_task()
         for batch in batches:
             yield emit((r, _rebuild(r, {})) for r in batch.to_pylist())
 
     def published(batches):
+        begin_task()
         for batch in batches:
             hashes, parts = [], []
             for r in batch.to_pylist():
@@ -319,6 +322,7 @@ def read(spark: SparkSession, path: str, digest_only: bool = False) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(parts, pa.binary())], ["hash", "part"])
 
     def together(batches):
+        begin_task()
         fetched = {}
         for batch in batches:
             done = []
