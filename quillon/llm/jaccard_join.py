@@ -33,9 +33,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.arrow import text_slices
+from quillon.llm.arrow import begin_task, text_slices
 from quillon.llm.common import Workspace, components, documents
-from quillon.llm.line_dedup import _bounds, _groups, bit_filter, mix, passes, string_hashes
+from quillon.llm.line_dedup import _bounds, _groups, bit_filter, hits, mix, spots, string_hashes
 
 WIDTH = 5
 PERCENT = 80
@@ -88,6 +88,7 @@ def _count(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Counters over all shingles, and the histogram of small set sizes."""
 
     def run(batches):
+        begin_task()
         counters, sizes = np.zeros(COUNTERS, dtype=np.int64), np.zeros(PART, dtype=np.int64)
         seen = False
         for whole in batches:
@@ -164,6 +165,7 @@ def sketch(docs: DataFrame, counters: np.ndarray, edge: int, width: int, percent
     shared = docs.sparkSession.sparkContext.broadcast(level)  # COUNTERS * 8 bytes
 
     def run(batches):
+        begin_task()
         level = shared.value
         for whole in batches:
             for b in text_slices(whole):
@@ -276,18 +278,25 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     crowds = met.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("set_key"))
     needed = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).unionByName(crowds.select("set_key")).distinct()
     wanted = work.table(needed.join(classes.select("set_key", "rk"), "set_key"), "wanted")
-    source = passes(spark, bit_filter(wanted, "rk"), docs.select(F.expr(ROW_KEY).alias("rk"), "text"), "rk").where("_pass")
+    bits = spark.sparkContext.broadcast(bit_filter(wanted, "rk"))  # of fixed size
 
     def load(batches):
+        begin_task()
         for whole in batches:
-            for b in text_slices(whole):
+            positions = (whole.column(c).to_numpy() for c in ("p", "q"))
+            may = pa.array(hits(bits.value, *positions))
+            for b in text_slices(whole.filter(may)):
                 raw = [s.tobytes() for s in shingle_sets(b.column("text"), width)]
                 yield pa.RecordBatch.from_arrays([b.column("rk"), pa.array(raw, pa.binary())], ["rk", "items"])
 
-    loaded = source.select("rk", "text").mapInArrow(load, "rk long, items binary").dropDuplicates(["rk"])
+    # the filter is applied where the sets are made: one Python worker a task
+    p, q = spots("rk")
+    source = docs.select(F.expr(ROW_KEY).alias("rk"), "text").select("rk", p.alias("p"), q.alias("q"), "text")
+    loaded = source.mapInArrow(load, "rk long, items binary").dropDuplicates(["rk"])
     items = work.table(wanted.join(loaded, "rk").select("set_key", "items"), "items")
 
     def check(batches):
+        begin_task()
         for b in batches:
             ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
             keep = pa.array(np.flatnonzero(ok))
@@ -298,6 +307,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     links = with_b.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
     def crowd(batches):
+        begin_task()
         for table, _ in _groups(batches, ["key", "set_key", "items"], ["key"]):
             a, b = [], []
             nodes = table.column("set_key").to_numpy()

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.arrow import string_bytes, text_slices
+from quillon.llm.arrow import begin_task, string_bytes, text_slices
 from quillon.llm.common import Workspace, components, documents
 
 MIN_WORDS = 8
@@ -154,8 +154,8 @@ def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
 
 def bit_filter(keys: DataFrame, column: str) -> np.ndarray:
     """A filter of fixed size: a set bit for each key's two positions."""
-    spots = keys.select(F.explode(F.array(*[F.pmod(F.xxhash64(column, F.lit(s)), F.lit(FILTER_BITS)) for s in (1, 2)])).alias("p"))
-    words = spots.groupBy((F.col("p") / 64).cast("int").alias("w")).agg(
+    places = keys.select(F.explode(F.array(*spots(column))).alias("p"))
+    words = places.groupBy((F.col("p") / 64).cast("int").alias("w")).agg(
         F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("v")
     ).toPandas()  # at most FILTER_BITS / 64 rows
     out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
@@ -163,20 +163,30 @@ def bit_filter(keys: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def spots(column: str) -> list:
+    """A key's two positions in a filter."""
+    return [F.pmod(F.xxhash64(column, F.lit(s)), F.lit(FILTER_BITS)) for s in (1, 2)]
+
+
+def hits(bits: np.ndarray, *positions: np.ndarray) -> np.ndarray:
+    """Which keys may be in the filter: false is for sure."""
+    out = np.ones(len(positions[0]), dtype=bool)
+    for x in positions:
+        out &= ((bits[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+    return out
+
+
 def passes(spark: SparkSession, bits: np.ndarray, rows: DataFrame, column: str) -> DataFrame:
     """Adds ``_pass``: false for sure where the key was never in the filter."""
     shared = spark.sparkContext.broadcast(bits)  # FILTER_BITS / 8 bytes
-    spots = [F.pmod(F.xxhash64(column, F.lit(s)), F.lit(FILTER_BITS)) for s in (1, 2)]
 
     @F.pandas_udf("boolean")
     def inside(p, q):
-        p, q, bits = p.to_numpy(np.int64), q.to_numpy(np.int64), shared.value
-        hit = lambda x: (bits[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1)
         import pandas as pd
 
-        return pd.Series((hit(p) & hit(q)).astype(bool))
+        return pd.Series(hits(shared.value, p.to_numpy(np.int64), q.to_numpy(np.int64)))
 
-    return rows.withColumn("_pass", inside(*spots))
+    return rows.withColumn("_pass", inside(*spots(column)))
 
 
 ROW_KEY = "xxhash64(doc_id, text)"
@@ -186,6 +196,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """(rk, doc_id, line, key, sim) of every line that takes part."""
 
     def run(batches):
+        begin_task()
         for whole in batches:
             for b in text_slices(whole):
                 texts = pc.fill_null(b.column("text"), "").cast(pa.large_string())
@@ -275,6 +286,7 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
     met = met.repartition("tab", "block").sortWithinPartitions("tab", "block", "key")
 
     def candidates(batches):
+        begin_task()
         for table, _ in _groups(batches, ["tab", "block", "key", "sim"], ["tab", "block"]):
             rows = []
             sims = table.column("sim").to_numpy().view(np.uint64)
@@ -293,6 +305,7 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
     source = passes(spark, bit_filter(wanted, "rk"), source, "rk").where("_pass").drop("_pass")
 
     def extract(batches):
+        begin_task()
         for b in batches:
             texts = pc.fill_null(b.column("text"), "").cast(pa.large_string())
             out = [t.as_py().split("\n")[k] for t, k in zip(texts, b.column("line").to_pylist())]
@@ -303,6 +316,7 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
     meeting = near.join(texts.hint("merge"), "key").repartition("tab", "block").sortWithinPartitions("tab", "block", "key")
 
     def verify(batches):
+        begin_task()
         for table, _ in _groups(batches, ["tab", "block", "key", "sim", "norm"], ["tab", "block"]):
             a, b = [], []
             sims, keys = table.column("sim").to_numpy().view(np.uint64), table.column("key").to_pylist()

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.arrow import text_slices
+from quillon.llm.arrow import begin_task, text_slices
 from quillon.llm.common import documents
 from quillon.llm.line_dedup import mix, string_hashes
 
@@ -59,6 +59,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word hash, n) over all texts, each task adding up its slices first."""
 
     def run(batches):
+        begin_task()
         for whole in batches:
             for b in text_slices(whole, limit=16 << 20):
                 h, index, _ = words_of(b.column("text"))
@@ -179,6 +180,7 @@ def train_round(part: DataFrame, vocab, net: Network) -> Network:
     shared = part.sparkSession.sparkContext.broadcast((vocab, net.flat()))  # fixed size
 
     def run(batches):
+        begin_task()
         vocab, flat = shared.value
         own, seen = Network.from_flat(flat), 0
         squares = {k: np.zeros_like(own.p[k]) for k in NAMES}
@@ -231,6 +233,7 @@ def score(docs: DataFrame, vocab, net: Network) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((vocab, net.flat()))  # fixed size
 
     def run(batches):
+        begin_task()
         vocab, flat = shared.value
         net = Network.from_flat(flat)
         for whole in batches:

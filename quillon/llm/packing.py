@@ -20,11 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.arrow import text_slices
+from quillon.llm.arrow import begin_task, text_slices
 from quillon.llm.byte_bpe import byte_bpe
 from quillon.llm.common import Workspace, documents, salted_slots, tokenizer_file
 
 MAX_TOKENS = 2048
+#: Words cached per worker and generation; packing shares workers with other stages.
+CACHE_ENTRIES = 150_000
 END_ID = 1
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -34,9 +36,9 @@ def cut(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: i
     """The pieces of every document; ``with_ids`` adds their little-endian ids."""
 
     def pieces(batches):
-        encoder = byte_bpe(tokenizer)
+        encoder = byte_bpe(tokenizer, CACHE_ENTRIES)
         for whole in batches:
-            for batch in text_slices(whole):
+            for batch in text_slices(whole, limit=2 << 20):
                 ids, bounds = encoder.encode_array(batch.column("text"))
                 rows: list[list] = [[] for _ in range(6 if with_ids else 5)]
                 for doc, lo, hi in zip(batch.column("doc_id").to_pylist(), bounds[:-1], bounds[1:]):
@@ -116,6 +118,7 @@ def place(pieces: DataFrame, max_tokens: int = MAX_TOKENS, n_salts: int = 64) ->
     columns = pieces.columns
 
     def assign(batches):
+        begin_task()
         for b in batches:
             length, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
             slot = np.searchsorted(keys, length * wide + rank, side="right") - 1
