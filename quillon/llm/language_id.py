@@ -24,8 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillon.llm.arrow import string_bytes, text_slices
+from quillon.llm.arrow import begin_task, string_bytes, text_slices
 from quillon.llm.common import documents
 
 UNDETERMINED = "und"
@@ -89,6 +90,7 @@ def training_windows(docs: DataFrame, label: str, sample: int) -> list[tuple[str
     """At most ``sample`` windows per label, by the smallest hashes of ids."""
 
     def draw(batches):
+        begin_task()
         best: dict[str, list] = {}
         for whole in batches:
             labels, order = whole.column("label").to_pylist(), whole.column("priority").to_pylist()
@@ -118,10 +120,16 @@ def training_windows(docs: DataFrame, label: str, sample: int) -> list[tuple[str
                 ["label", "priority", "k", "bytes"],
             )
 
-    from pyspark.sql.window import Window
-
     rows = docs.select(F.col(label).alias("label"), F.xxhash64("doc_id", label).alias("priority"), "text")
-    drawn = rows.where("text is not null and label is not null").mapInArrow(draw, "label string, priority long, k int, bytes binary")
+    rows = rows.where("text is not null and label is not null")
+    # Hashes below a share of their range hold the smallest ones: twice the
+    # documents that the sample needs, however many there are.
+    counts = rows.where("text <> ''").groupBy("label").count().collect()  # one row per label
+    if not counts:
+        return []
+    edges = [(r["label"], int(-(2**63) + min(1.0, 2 * sample / r["count"]) * (2**64 - 2**11))) for r in counts]
+    edge = F.element_at(F.create_map(*[c for name, e in edges for c in (F.lit(name), F.lit(e).cast("long"))]), F.col("label"))
+    drawn = rows.where(F.col("priority") <= edge).mapInArrow(draw, "label string, priority long, k int, bytes binary")
     rank = F.row_number().over(Window.partitionBy("label").orderBy("priority", "k", "bytes"))
     return [tuple(r) for r in drawn.withColumn("r", rank).where(F.col("r") <= sample).select("label", "priority", "bytes").orderBy("priority", "label", "bytes").collect()]
 
@@ -194,6 +202,7 @@ def predict(docs: DataFrame, net: Network | None, names: tuple[str, str] = ("lan
     docs, outputs = docs.drop(*names), names
 
     def run(batches):
+        begin_task()
         for whole in batches:
             for b in text_slices(whole, limit=1 << 20):
                 names, scores = [UNDETERMINED] * len(b), np.zeros(len(b))
