@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quillon.llm.arrow import text_slices
+from quillon.llm.arrow import begin_task, text_slices
 from quillon.llm.common import documents, tokenizer_file
 
 BLANK = "▁"
@@ -160,7 +160,7 @@ class PieceCodec:
         if len(self.parts) > PART_ENTRIES:
             self.parts = {}
         parts, known = [], self.parts
-        for k in words.dictionary.to_pylist():
+        for k in words.dictionary.to_numpy(zero_copy_only=False).tolist():
             got = known.get(k)
             if got is None:
                 got = known[k] = self._part(k)
@@ -208,7 +208,8 @@ _OPEN: dict[str, PieceCodec] = {}
 
 
 def piece_codec(path: str) -> PieceCodec:
-    """The worker's codec for a model file (kept between tasks)."""
+    """The worker's codec for a model file (kept between its own tasks)."""
+    begin_task("piece_codec", _OPEN.clear)
     if path not in _OPEN:
         _OPEN[path] = PieceCodec(path)
     return _OPEN[path]
