@@ -33,11 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+#: Bytes of an Arrow batch on its way to Python; the default of 64 MB is held
+#: several times over on either side of each task.
+ARROW_BATCH = 16 << 20
+
+
 class Workspace:
-    """Tables written under the shared folder; each cuts the lineage."""
+    """Tables written under the shared folder; each cuts the lineage.  Sets the
+    session's Arrow batches to at most ``ARROW_BATCH`` bytes."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH))
         self.at = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
