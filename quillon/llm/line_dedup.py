@@ -2,14 +2,14 @@
 
 Lines are normalised (lower case, letters and digits only).  Lines of at least
 ``MIN_WORDS`` words take part.  Two distinct normalised lines link when their
-64-bit SimHashes over word pairs differ in at most ``MAX_BITS`` bits and their
-edit similarity (1 - distance / longer length) is at least ``SIMILARITY``.
+edit similarity (1 - distance / longer length) is at least ``SIMILARITY`` and
+they are candidates: they meet in one of ``TABLES`` tables and their 64-bit
+SimHashes over runs of ``GRAM`` bytes differ in at most ``MAX_BITS`` bits.
 Of every connected group of lines, equal ones included, the first occurrence
 (by doc_id, text, line number) stays and the others are dropped.
 
-Candidates come from pigeonhole blocks: of ``BLOCKS`` blocks at least
-``BLOCKS - MAX_BITS`` agree, so lines meet in the table of some pair of
-blocks, and each pair of lines is handled in the first such table only.
+Lines meet in a table when ``ROWS`` MinHashes of these runs are
+equal.  What this finds of all similar lines is measured in the README.
 Within a meeting place links are verified until the lines are connected, never
 listed as pairs.  Texts of candidates are fetched, and documents rewritten,
 behind a bit filter of fixed size: what it lets pass is joined exactly.
@@ -21,8 +21,6 @@ all go becomes empty.  Empty tables give empty results.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,16 +31,14 @@ from quillon.llm.arrow import begin_task, string_bytes, text_slices
 from quillon.llm.common import Workspace, components, documents
 
 MIN_WORDS = 8
-MAX_BITS = 3
-BLOCKS = 5
+#: Bytes of a gram; MinHashes of a table and tables; SimHash radius.
+GRAM = 7
+ROWS, TABLES = 3, 16
+MAX_BITS = 22
 SIMILARITY = 0.8
 #: Bits of the filters that are broadcast (4 MB), whatever the input.
 FILTER_BITS = 1 << 25
 
-_EDGES = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
-_MASKS = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(_EDGES, _EDGES[1:])]
-_TABLES = list(combinations(range(BLOCKS), BLOCKS - MAX_BITS))
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = x + np.uint64(0x9E3779B97F4A7C15)
@@ -89,28 +85,58 @@ def simhash(features: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def line_sketches(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, line number, key, SimHash) of the lines that take part."""
+def lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(text index, line number, normalised line) of the lines that take part."""
     lines = pc.split_pattern(texts, "\n")
     counts = np.diff(lines.offsets.to_numpy())
     owner = np.repeat(np.arange(len(texts)), counts)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     flat = normalised(lines.flatten())
-    words = pc.split_pattern(flat, " ")
-    sizes = np.diff(words.offsets.to_numpy())
-    take = np.flatnonzero(sizes >= MIN_WORDS)
-    if not len(take):
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    flat, words, sizes = flat.take(pa.array(take)), words.take(pa.array(take)), sizes[take]
-    coded = words.flatten().dictionary_encode()
-    h = string_hashes(coded.dictionary)[coded.indices.to_numpy()]
-    pairs = mix(h[:-1] * np.uint64(3) + h[1:])
-    ends = np.cumsum(sizes)
-    inner = np.ones(len(pairs), dtype=bool)
-    inner[ends[:-1] - 1] = False
-    starts = np.concatenate([[0], np.cumsum(sizes - 1)])
-    return owner[take], number[take], string_hashes(flat, 1), simhash(pairs[inner], starts)
+    take = np.flatnonzero(np.diff(pc.split_pattern(flat, " ").offsets.to_numpy()) >= MIN_WORDS)
+    return owner[take], number[take], flat.take(pa.array(take))
+
+
+def grams(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all GRAM-byte runs of each line, and where each line starts; a
+    shorter line is one run of its own."""
+    data, bounds = string_bytes(lines)
+    counts = np.maximum(np.diff(bounds) - GRAM + 1, 1)
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    first = np.arange(starts[-1]) + np.repeat(bounds[:-1] - starts[:-1], counts)
+    data = np.concatenate([data, np.zeros(GRAM, data.dtype)])
+    last = np.repeat(bounds[1:], counts) if (np.diff(bounds) < GRAM).any() else None
+    code = np.zeros(len(first), dtype=np.uint64)
+    for k in range(GRAM):
+        byte = data[first + k].astype(np.uint64)
+        if last is not None:
+            byte[first + k >= last] = 0
+        code = (code << np.uint64(8)) | byte
+    return mix(code), starts
+
+
+_RANDOM = np.random.default_rng(5).integers(0, 1 << 32, (TABLES * ROWS, 2), dtype=np.uint32)
+
+
+def meeting_places(features: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each line its place in each table: lines x TABLES."""
+    if len(starts) < 2:
+        return np.zeros((0, TABLES), dtype=np.uint64)
+    high = (features >> np.uint64(32)).astype(np.uint32)
+    part, out = np.empty_like(high), np.empty((len(starts) - 1, TABLES), dtype=np.uint64)
+    for t in range(TABLES):
+        place = np.full(len(out), t, dtype=np.uint64)
+        for factor, flips in _RANDOM[t * ROWS : (t + 1) * ROWS]:
+            np.multiply(high, factor | np.uint32(1), out=part)
+            np.bitwise_xor(part, flips, out=part)
+            place = mix(place ^ np.minimum.reduceat(part, starts[:-1]).astype(np.uint64))
+        out[:, t] = place
+    return out
+
+
+def line_sketches(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, line number, key, SimHash) of the lines that take part."""
+    owner, number, flat = lines_of(texts)
+    return owner, number, string_hashes(flat, 1), simhash(*grams(flat))
 
 
 def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
@@ -135,7 +161,7 @@ def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
         where[c] = where.get(c, 0) | (1 << i)
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     plus, minus, distance = full, 0, len(a)
-    for c in b:
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
         eq = where.get(c, 0)
         x = eq | minus
         d = (((eq & plus) + plus) ^ plus) | eq
@@ -145,6 +171,8 @@ def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
             distance += 1
         elif h_minus & top:
             distance -= 1
+        if distance - left > allowed:  # each column left takes one off at most
+            return False
         h_plus = ((h_plus << 1) | 1) & full
         h_minus = (h_minus << 1) & full
         plus = (h_minus | ~(x | h_plus)) & full
@@ -193,22 +221,41 @@ ROW_KEY = "xxhash64(doc_id, text)"
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(rk, doc_id, line, key, sim) of every line that takes part."""
+    """(rk, doc_id, line, key) of every line that takes part."""
 
     def run(batches):
         begin_task()
         for whole in batches:
             for b in text_slices(whole):
                 texts = pc.fill_null(b.column("text"), "").cast(pa.large_string())
-                owner, number, key, sim = line_sketches(texts)
+                owner, number, flat = lines_of(texts)
                 at = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("rk").take(at), b.column("doc_id").take(at), pa.array(number.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(sim.view(np.int64))],
-                    ["rk", "doc_id", "line", "key", "sim"],
+                    [b.column("rk").take(at), b.column("doc_id").take(at), pa.array(number.astype(np.int32)), pa.array(string_hashes(flat, 1).view(np.int64))],
+                    ["rk", "doc_id", "line", "key"],
                 )
 
     rows = docs.select(F.expr(ROW_KEY).alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "rk long, doc_id long, line int, key long, sim long")
+    return rows.mapInArrow(run, "rk long, doc_id long, line int, key long")
+
+
+def meetings(docs: DataFrame) -> DataFrame:
+    """(block, key, sim, size) of every line that takes part, once a table; a
+    line that a slice of texts repeats is sent once."""
+
+    def run(batches):
+        begin_task()
+        for whole in batches:
+            for b in text_slices(whole):
+                flat = lines_of(pc.fill_null(b.column("text"), "").cast(pa.large_string()))[2].unique()
+                key, size = string_hashes(flat, 1).view(np.int64), pc.utf8_length(flat).to_numpy().astype(np.int32)
+                features, starts = grams(flat)
+                sim, places = simhash(features, starts).view(np.int64), meeting_places(features, starts).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(places.ravel()), *(pa.array(np.repeat(x, TABLES)) for x in (key, sim, size))], ["block", "key", "sim", "size"]
+                )
+
+    return docs.select("text").mapInArrow(run, "block long, key long, sim long, size int")
 
 
 def _groups(batches, columns: list[str], by: list[str]):
@@ -243,30 +290,18 @@ def _bounds(table: pa.Table, by: list[str]) -> list[tuple[int, int]]:
     return [(int(starts[i]), int(starts[i + 1])) for i in many]
 
 
-def _first_table(x: np.ndarray) -> np.ndarray:
-    """Index of the first table in which lines whose SimHashes differ by x meet."""
-    same = [(x & np.uint64(m)) == 0 for m in _MASKS]
-    out = np.full(x.shape, len(_TABLES), dtype=np.int8)
-    for t in range(len(_TABLES) - 1, -1, -1):
-        meet = same[_TABLES[t][0]]
-        for k in _TABLES[t][1:]:
-            meet = meet & same[k]
-        out[meet] = t
-    return out
-
-
-def _near(sims: np.ndarray, table: int):
-    """Pairs (i, j), i < j, of a group that are near and belong to ``table``; in
-    blocks of rows, so memory is linear in the group."""
+def _near(sims: np.ndarray, sizes: np.ndarray):
+    """Pairs (i, j), i < j, of a group whose SimHashes are near and whose lengths
+    allow the similarity; in blocks of rows, so memory is linear in the group."""
     n = len(sims)
     step = max(1, (1 << 20) // max(n, 1))
+    floor = np.ceil(np.round(sizes * SIMILARITY, 6)).astype(sizes.dtype)  # of the shorter line
     for at in range(0, n, step):
         x = sims[at : at + step, None] ^ sims[None, :]
         i, j = np.nonzero(np.bitwise_count(x) <= MAX_BITS)
-        later = j > i + at
-        i, j = i[later], j[later]
-        own = _first_table(x[i, j]) == table
-        yield i[own] + at, j[own]
+        i += at
+        own = (j > i) & (sizes[i] >= floor[j]) & (sizes[j] >= floor[i])
+        yield i[own], j[own]
 
 
 def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
@@ -275,31 +310,26 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "line_dedup")
     found = work.table(occurrences(docs), "lines")
     place = F.struct(F.col("doc_id").isNotNull().alias("set"), "doc_id", "rk", "line")
-    lines = work.table(found.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim")), "distinct")
+    lines = work.table(found.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct")
 
-    sim = F.col("sim")
-    keyed = [
-        F.struct(F.lit(t).cast("byte").alias("tab"), sim.bitwiseAND(F.lit(_signed(sum(_MASKS[k] for k in blocks)))).alias("block"))
-        for t, blocks in enumerate(_TABLES)
-    ]
-    met = lines.select("key", "sim", F.explode(F.array(*keyed)).alias("m")).select("m.tab", "m.block", "key", "sim")
-    met = met.repartition("tab", "block").sortWithinPartitions("tab", "block", "key")
+    met = meetings(docs).repartition("block").sortWithinPartitions("block", "key")
 
     def candidates(batches):
         begin_task()
-        for table, _ in _groups(batches, ["tab", "block", "key", "sim"], ["tab", "block"]):
-            rows = []
-            sims = table.column("sim").to_numpy().view(np.uint64)
-            tabs = table.column("tab").to_numpy()
-            for lo, hi in _bounds(table, ["tab", "block"]):
+        for table, _ in _groups(batches, ["block", "key", "sim", "size"], ["block"]):
+            again = np.zeros(table.num_rows, dtype=bool)  # the same line, from another slice
+            again[1:] = np.logical_and.reduce([np.diff(table.column(c).to_numpy()) == 0 for c in ("block", "key")])
+            table, rows = table.filter(pa.array(~again)), []
+            sims, sizes = table.column("sim").to_numpy().view(np.uint64), table.column("size").to_numpy()
+            for lo, hi in _bounds(table, ["block"]):
                 near = np.zeros(hi - lo, dtype=bool)
-                for i, j in _near(sims[lo:hi], int(tabs[lo])):
+                for i, j in _near(sims[lo:hi], sizes[lo:hi]):
                     near[i] = near[j] = True
                 rows.append(lo + np.flatnonzero(near))
             if rows:
                 yield from table.take(pa.array(np.concatenate(rows))).to_batches()
 
-    near = work.table(met.mapInArrow(candidates, "tab byte, block long, key long, sim long"), "near")
+    near = work.table(met.mapInArrow(candidates, "block long, key long, sim long, size int"), "near")
     wanted = work.table(near.select("key").distinct().join(lines, "key").select("key", F.col("first.rk").alias("rk"), F.col("first.line").alias("line")), "wanted")
     source = docs.select(F.expr(ROW_KEY).alias("rk"), "text")
     source = passes(spark, bit_filter(wanted, "rk"), source, "rk").where("_pass").drop("_pass")
@@ -313,15 +343,15 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
 
     texts = wanted.hint("merge").join(source.dropDuplicates(["rk"]), "rk").select("key", "line", "text").mapInArrow(extract, "key long, norm string")
     # both sides grow with the input: the same plan at every size
-    meeting = near.join(texts.hint("merge"), "key").repartition("tab", "block").sortWithinPartitions("tab", "block", "key")
+    meeting = near.join(texts.hint("merge"), "key").repartition("block").sortWithinPartitions("block", "key")
 
     def verify(batches):
         begin_task()
-        for table, _ in _groups(batches, ["tab", "block", "key", "sim", "norm"], ["tab", "block"]):
+        for table, _ in _groups(batches, ["block", "key", "sim", "size", "norm"], ["block"]):
             a, b = [], []
             sims, keys = table.column("sim").to_numpy().view(np.uint64), table.column("key").to_pylist()
-            tabs = table.column("tab").to_numpy()
-            for lo, hi in _bounds(table, ["tab", "block"]):
+            sizes = table.column("size").to_numpy()
+            for lo, hi in _bounds(table, ["block"]):
                 text = table.column("norm").slice(lo, hi - lo).to_pylist()
                 root = list(range(hi - lo))
 
@@ -331,7 +361,7 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
                         i = root[i]
                     return i
 
-                for i, j in _near(sims[lo:hi], int(tabs[lo])):
+                for i, j in _near(sims[lo:hi], sizes[lo:hi]):
                     for p, q in zip(i.tolist(), j.tolist()):
                         p_, q_ = find(p), find(q)
                         if p_ != q_ and edit_similar(text[p], text[q]):
@@ -360,9 +390,5 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
     return clean.unionByName(some.select(*clean.columns))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def op7_line_dedup(spark, sf_dir):
     return dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))

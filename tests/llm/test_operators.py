@@ -429,6 +429,19 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).collect() == []
 
 
+def test_line_recall_against_edit_similarity_alone(spark):
+    """Pairs of lines that differ in one word, by brute force on edit similarity."""
+    found = similar = 0
+    pairs = [(x, edited(x, i, 1)) for i, x in enumerate(passage(900 + i, (8, 10, 20, 30, 50)[i % 5]) for i in range(200))]
+    docs = spark.createDataFrame([(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)], "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs).collect()}
+    for i, (a, b) in enumerate(pairs):
+        if line_dedup.edit_similar(a, b):
+            similar, found = similar + 1, found + got[2 * i + 1]
+    assert similar > 190 and found >= 0.9 * similar
+    assert sum(got.values()) == found
+
+
 def test_edit_similarity():
     def distance(a, b):
         row = list(range(len(b) + 1))
