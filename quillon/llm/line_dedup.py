@@ -1,7 +1,8 @@
 """Fuzzy line deduplication.
 
 Lines are normalised (lower case, letters and digits only).  Lines of at least
-``MIN_WORDS`` words take part.  Two distinct normalised lines link when their
+``MIN_WORDS`` words, or of ``MIN_CHARS`` letters and digits whatever their
+words (scripts without blanks), take part.  Two distinct normalised lines link when their
 edit similarity (1 - distance / longer length) is at least ``SIMILARITY`` and
 they are candidates: they meet in one of ``TABLES`` tables and their 64-bit
 SimHashes over runs of ``GRAM`` bytes differ in at most ``MAX_BITS`` bits.
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from quillon.llm.arrow import begin_task, string_bytes, text_slices
 from quillon.llm.common import Workspace, components, documents
 
-MIN_WORDS = 8
+MIN_WORDS = 4
+MIN_CHARS = 12
 #: Bytes of a gram; MinHashes of a table and tables; SimHash radius.
 GRAM = 7
 ROWS, TABLES = 3, 16
@@ -92,7 +94,9 @@ def lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     owner = np.repeat(np.arange(len(texts)), counts)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     flat = normalised(lines.flatten())
-    take = np.flatnonzero(np.diff(pc.split_pattern(flat, " ").offsets.to_numpy()) >= MIN_WORDS)
+    words = np.diff(pc.split_pattern(flat, " ").offsets.to_numpy())
+    chars = pc.utf8_length(flat).to_numpy() - words + 1  # without the blanks between words
+    take = np.flatnonzero((words >= MIN_WORDS) | (chars >= MIN_CHARS))
     return owner[take], number[take], flat.take(pa.array(take))
 
 

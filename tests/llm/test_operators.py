@@ -429,6 +429,15 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).collect() == []
 
 
+def test_short_lines_and_scripts_without_blanks_take_part(spark):
+    chinese, changed = "本网站所有内容未经书面许可不得以任何方式转载", "本网站所有内容未经书面许可不得以任何形式转载"
+    texts = ["Subscribe to our newsletter\nfirst", "subscribe to our newsletter!\nfirst", "All rights reserved", "all rights reserved.", chinese, chinese, changed]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[1] == ("first", 1)  # under both floors: stays
+    assert [got[i][1] for i in (0, 2, 3, 4, 5, 6)] == [0, 0, 1, 0, 1, 1]
+
+
 def test_line_recall_against_edit_similarity_alone(spark):
     """Pairs of lines that differ in one word, by brute force on edit similarity."""
     found = similar = 0
