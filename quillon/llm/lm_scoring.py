@@ -4,8 +4,10 @@ Spark counts all words; the ``TOP`` most frequent are tokens of their own and
 the others share hashed tokens.  A small network sees the ``SIDE`` tokens on
 either side of a position, each through its own gate, and predicts the masked
 token between them: first its class, then the token within the class.  A
-document's score is the sum of the log-probabilities of all its tokens, each
-predicted from both sides.
+document's score is the sum of the log-probabilities of all its words, each
+predicted from both sides.  A word with a hashed token adds its share among the
+words of that token: the counts of all words are a table that grows with the
+corpus and is joined to the tokens.
 
 Training is data-parallel and covers every document: the corpus is split in
 ``ROUNDS`` parts by a hash, and in each round every task trains on the part's
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.arrow import begin_task, text_slices
-from quillon.llm.common import documents
+from quillon.llm.common import Workspace, documents
 from quillon.llm.line_dedup import mix, string_hashes
 
 SIDE = 2
@@ -69,27 +71,50 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def hashed(h: np.ndarray) -> np.ndarray:
+    """The token that a word outside the TOP shares with others."""
+    return (TOP + 1 + mix(h) % np.uint64(VOCABULARY - TOP - 1)).astype(np.int64)
+
+
+def vocabulary(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the most frequent words and their token ids."""
-    top = count_words(docs).orderBy(F.desc("n"), "word").limit(TOP).collect()  # TOP rows
+    top = counts.orderBy(F.desc("n"), "word").limit(TOP).collect()  # TOP rows
     hashes = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], (order + 1).astype(np.int64)
 
 
-def tokens_of(texts: pa.Array, vocab: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids with SIDE zeros around each text, and each text's bounds in them."""
+def shares(counts: DataFrame, vocab: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, dict[int, int]]:
+    """(word, n) of every word outside the TOP, and each token's sum of n."""
+    top = counts.sparkSession.sparkContext.broadcast(vocab[0])  # TOP hashes
+
+    def run(batches):
+        for b in batches:
+            h = b.column("word").to_numpy().view(np.uint64)
+            rest = pa.array(~np.isin(h, top.value))
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(hashed(h))], ["word", "n", "token"]).filter(rest)
+
+    rest = counts.mapInArrow(run, "word long, n long, token long")
+    sums = rest.groupBy("token").agg(F.sum("n").alias("n")).collect()  # at most VOCABULARY rows
+    return rest.select("word", "n"), {r["token"]: r["n"] for r in sums}
+
+
+def tokens_of(texts: pa.Array, vocab: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token ids with SIDE zeros around each text, each text's bounds in them, and
+    the hashes of the words."""
     hashes, ids = vocab
     h, index, n = words_of(texts)
-    token = (TOP + 1 + mix(h) % np.uint64(VOCABULARY - TOP - 1)).astype(np.int64)
+    token = hashed(h)
     if len(hashes) and len(h):
         at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
         token = np.where(hashes[at] == h, ids[at], token)
     out = np.zeros(len(index) + SIDE * (len(n) + 1), dtype=np.int64)
     ends = np.cumsum(n)
     lead = SIDE * (1 + np.arange(len(n)))
-    out[np.arange(len(index)) + np.repeat(lead, n)] = token[index] if len(h) else 0
-    return out, np.stack([ends - n + lead, ends + lead])
+    at = np.arange(len(index)) + np.repeat(lead, n)
+    words = np.zeros(len(out), dtype=np.uint64)
+    out[at], words[at] = (token[index], h[index]) if len(h) else (0, 0)
+    return out, np.stack([ends - n + lead, ends + lead]), words
 
 
 class Network:
@@ -186,7 +211,7 @@ def train_round(part: DataFrame, vocab, net: Network) -> Network:
         squares = {k: np.zeros_like(own.p[k]) for k in NAMES}
         for whole in batches:
             for b in text_slices(whole, limit=1 << 20):
-                tokens, (lo, hi) = tokens_of(b.column("text"), vocab)
+                tokens, (lo, hi), _ = tokens_of(b.column("text"), vocab)
                 offset = np.array(b.column("offset").to_pylist(), dtype=np.int64)
                 masked = np.concatenate([np.arange(a + o, z, STRIDE) for a, z, o in zip(lo, hi, offset)]) if len(lo) else lo
                 for at in range(0, len(masked), BATCH):
@@ -220,39 +245,54 @@ def train_round(part: DataFrame, vocab, net: Network) -> Network:
     return Network.from_flat(np.concatenate([np.frombuffer(r["sums"]) / r["seen"] for r in rows]))
 
 
-def train(docs: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], Network]:
-    vocab, net = vocabulary(docs), Network.fresh()
+def train(docs: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], Network, DataFrame]:
+    """The vocabulary, the network and the counts of all words."""
+    counts = Workspace(docs.sparkSession, "lm").table(count_words(docs), "words")
+    vocab, net = vocabulary(counts), Network.fresh()
     turn = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(ROUNDS))
     for k in range(ROUNDS):  # together the rounds cover every document
         net = train_round(docs.where(turn == k), vocab, net)
-    return vocab, net
+    return vocab, net, counts
 
 
-def score(docs: DataFrame, vocab, net: Network) -> DataFrame:
+def score(docs: DataFrame, vocab, net: Network, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (summed, natural log) and its mean."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, net.flat()))  # fixed size
+    rest, sums = shares(counts, vocab)
+    shared = docs.sparkSession.sparkContext.broadcast((vocab, net.flat(), sums))  # fixed size
 
     def run(batches):
         begin_task()
-        vocab, flat = shared.value
+        vocab, flat, sums = shared.value
         net = Network.from_flat(flat)
+        # one more, so that a word never counted has a share too
+        whole_of = np.log([1.0 + sums.get(k, 0) for k in range(VOCABULARY)])
         for whole in batches:
             for b in text_slices(whole, limit=1 << 20):
-                tokens, (lo, hi) = tokens_of(b.column("text"), vocab)
+                tokens, (lo, hi), words = tokens_of(b.column("text"), vocab)
                 inside = np.flatnonzero(tokens)
                 log_p = np.zeros(len(tokens) + 1)
                 for at in range(0, len(inside), 4 * BATCH):
                     some = inside[at : at + 4 * BATCH]
                     log_p[some + 1] = net.log_probability(tokens[some[:, None] + _AROUND], tokens[some])
+                rare = tokens > TOP
+                log_p[1:][rare] -= whole_of[tokens[rare]]
                 run_of = np.cumsum(log_p)
                 total, n = run_of[hi] - run_of[lo], hi - lo
+                before = np.concatenate([[0], np.cumsum(rare)])
+                offsets = np.append(before[lo], before[-1]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))],
-                    ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"],
+                    [b.column("row"), b.column("doc_id"), pa.array(n), pa.array(total), pa.ListArray.from_arrays(pa.array(offsets), pa.array(words[rare].view(np.int64)))],
+                    ["row", "doc_id", "n_tokens", "part", "rare"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # written, so a row keeps its number
+    scored = Workspace(docs.sparkSession, "lm").table(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, part double, rare array<long>"), "scored")
+    counted = scored.select("row", F.explode("rare").alias("word")).join(rest.hint("merge"), "word", "left")
+    added = counted.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(1)).cast("double"))).alias("added"))
+    whole = F.col("part") + F.coalesce("added", F.lit(0.0))
+    return scored.drop("rare").join(added.hint("merge"), "row", "left").select(
+        "doc_id", "n_tokens", whole.alias("log_likelihood"), (whole / F.greatest("n_tokens", F.lit(1))).alias("mean_log_likelihood")
     )
 
 

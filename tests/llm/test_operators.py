@@ -529,6 +529,19 @@ def test_lm_scores_prefer_what_it_learnt(spark, empty):
     assert len(got) == 88 and lm_scoring.score(empty, *lm_scoring.train(empty)).collect() == []
 
 
+def test_lm_tells_words_of_one_token_apart(spark):
+    """Beyond the TOP words, a counted word scores above one seen once, whatever token they share."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(lm_scoring.TOP)]
+    h = {w: lm_scoring.string_hashes(pa.array([w], pa.large_string())) for w in (f"r{i}" for i in range(3000))}
+    tokens = {w: int(lm_scoring.hashed(x)[0]) for w, x in h.items()}
+    often, once = next((a, b) for a in tokens for b in tokens if a != b and tokens[a] == tokens[b])
+    texts = [" ".join(common * 4)] * 3 + [" ".join([*rng.choices(common, k=30), often]) for _ in range(9)] + [f"c1 c2 {w} c3 c4" for w in (often, once)]
+    docs = make(spark, texts, extra=False)
+    got = {r.doc_id: r.log_likelihood for r in lm_scoring.score(docs, *lm_scoring.train(docs)).collect()}
+    assert abs(got[12] - got[13] - np.log(10 / 2)) < 1e-3  # the last row occurs twice
+
+
 def test_lm_gradient():
     """A step moves along the gradient: the mean log-probability rises."""
     net, rng = lm_scoring.Network.fresh(), np.random.default_rng(0)
