@@ -11,8 +11,8 @@ corpus and is joined to the tokens.
 
 Training is data-parallel and covers every document: the corpus is split in
 ``ROUNDS`` parts by a hash, and in each round every task trains on the part's
-masked positions (every ``STRIDE``-th, from an offset of the document's own)
-in numpy, starting from the same network; the networks are then averaged,
+positions (in ``STRIDE`` passes over each slice of texts, each masking every
+``STRIDE``-th, the first from an offset of the document's own) in numpy, starting from the same network; the networks are then averaged,
 weighted by their positions.  Each task sends its network, of fixed size, so
 what is gathered grows with the number of tasks.
 
@@ -200,6 +200,11 @@ _AROUND = np.array([k for k in range(-SIDE, SIDE + 1) if k])
 PART = 2048
 
 
+def targets(lo: np.ndarray, hi: np.ndarray, offset: np.ndarray) -> list[np.ndarray]:
+    """The masked positions of each pass: together every position of every text once."""
+    return [np.concatenate([np.arange(a + (o + k) % STRIDE, z, STRIDE) for a, z, o in zip(lo, hi, offset)]) for k in range(STRIDE)] if len(lo) else []
+
+
 def train_round(part: DataFrame, vocab, net: Network) -> Network:
     """Averages the networks that the tasks train on their rows of ``part``."""
     shared = part.sparkSession.sparkContext.broadcast((vocab, net.flat()))  # fixed size
@@ -213,11 +218,11 @@ def train_round(part: DataFrame, vocab, net: Network) -> Network:
             for b in text_slices(whole, limit=1 << 20):
                 tokens, (lo, hi), _ = tokens_of(b.column("text"), vocab)
                 offset = np.array(b.column("offset").to_pylist(), dtype=np.int64)
-                masked = np.concatenate([np.arange(a + o, z, STRIDE) for a, z, o in zip(lo, hi, offset)]) if len(lo) else lo
-                for at in range(0, len(masked), BATCH):
-                    some = masked[at : at + BATCH]
-                    own.step(tokens[some[:, None] + _AROUND], tokens[some], squares)
-                seen += len(masked)
+                for masked in targets(lo, hi, offset):
+                    for at in range(0, len(masked), BATCH):
+                        some = masked[at : at + BATCH]
+                        own.step(tokens[some[:, None] + _AROUND], tokens[some], squares)
+                    seen += len(masked)
         if seen:
             sums = own.flat().astype(np.float64) * seen
             cuts = range(0, len(sums), PART)

@@ -542,6 +542,13 @@ def test_lm_tells_words_of_one_token_apart(spark):
     assert abs(got[12] - got[13] - np.log(10 / 2)) < 1e-3  # the last row occurs twice
 
 
+def test_lm_trains_on_every_position():
+    vocab = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    tokens, (lo, hi), _ = lm_scoring.tokens_of(pa.array(["a b c d e f g", None, "h", "i j"]), vocab)
+    masked = np.concatenate(lm_scoring.targets(lo, hi, np.array([3, 0, 2, 1])))
+    assert sorted(masked.tolist()) == np.flatnonzero(tokens).tolist() and len(masked) == 10
+
+
 def test_lm_gradient():
     """A step moves along the gradient: the mean log-probability rises."""
     net, rng = lm_scoring.Network.fresh(), np.random.default_rng(0)
