@@ -358,6 +358,12 @@ def test_bands_reject_gibberish(spark, empty):
     assert whole.select(docs.columns).columns == docs.columns and whole.count() == docs.count()
 
 
+def test_bands_reject_four_spreads_on_either_side(spark):
+    rows = [(x, 5.0, 0.1, 10_000) for x in (4.6, 4.8, 5.0, 5.2, 5.4)]
+    df = spark.createDataFrame(rows, "p double, _middle double, _spread double, _n_bytes long")
+    assert [r.k for r in df.select("p", quality_rules.within_band(F.col("p")).alias("k")).orderBy("p").collect()] == [False, True, True, True, False]
+
+
 # ---------------------------------------------------------------- pieces
 
 
