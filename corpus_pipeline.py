@@ -13,16 +13,23 @@ from pyspark.sql import functions as F
 from quillon.llm import jaccard_join, language_id, line_dedup, packing, quality_rules
 from quillon.llm.common import Workspace, documents, tokenizer_file
 
-#: Predictions below this score count as no language.
-MIN_LANGUAGE_SCORE = 0.25
+#: Predictions less sure than this count as no language: 0 is what chance among
+#: the labels scores, 1 a certain one.  With four labels the score is 0.8.
+MIN_LANGUAGE_CONFIDENCE = 11 / 15
+
+
+def least_score(n_labels: int) -> float:
+    """The score of ``MIN_LANGUAGE_CONFIDENCE`` among so many labels."""
+    chance = 1 / max(n_labels, 1)
+    return chance + (1 - chance) * MIN_LANGUAGE_CONFIDENCE - 1e-9
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a recognised language; a missing label takes
+    """Rejects documents whose language is not recognised with confidence; a missing label takes
     the predicted one."""
     net = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     found = language_id.predict(docs, net, ("_lang_pred", "_score"))
-    found = found.where((F.col("_lang_pred") != language_id.UNDETERMINED) & (F.col("_score") >= MIN_LANGUAGE_SCORE))
+    found = found.where((F.col("_lang_pred") != language_id.UNDETERMINED) & (F.col("_score") >= least_score(len(net.labels) if net else 0)))
     return found.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(docs.columns)
 
 
