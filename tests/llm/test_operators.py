@@ -603,6 +603,17 @@ def test_top_k(spark, monkeypatch, kind):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_search_with_large_scores_keeps_k_beside_the_own_row():
+    rng = np.random.default_rng(2)
+    # one block, more than FEW rows, scores beyond 2**52 and bounds loose to the end
+    x, ids = (rng.standard_normal((300, 64)) * 2e7).astype(np.int64), np.arange(300)
+    own = np.array([299, 150, 0])
+    query, column, score = topk_search.search_block(own, x[own], ids, x, 5)
+    for i, q in enumerate(own):
+        want = sorted((-int(x[q] @ x[c]), c) for c in range(300) if c != q)[:5]
+        assert [(-int(s), int(c)) for c, s in zip(column[query == i], score[query == i])] == want
+
+
 def test_top_k_sql_and_few(spark):
     got = topk_search.op10_topk_search(spark, DATA).toPandas()
     assert rows(got) == rows(tables().execute(topk_search.TOPK_SQL).df())
