@@ -63,6 +63,17 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """Names beside the columns of ``df``, in whatever case those are written."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name = f"_{name}"
+        found.append(name)
+    return found
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -11,12 +11,17 @@ Of every connected group of lines, equal ones included, the first occurrence
 
 Lines meet in a table when ``ROWS`` MinHashes of these runs are
 equal.  What this finds of all similar lines is measured in the README.
-Within a meeting place links are verified until the lines are connected, never
-listed as pairs.  Texts of candidates are fetched, and documents rewritten,
-behind a bit filter of fixed size: what it lets pass is joined exactly.
+Meeting places are sent packed, many lines to a row, by buckets of about
+``BUCKET_BYTES``.  Within a place links are verified until the lines are
+connected, never listed as pairs, and two lines are compared only in the first
+table in which they meet.  Texts of candidates are fetched, and documents
+rewritten, behind a bit filter of fixed size: what it lets pass is joined
+exactly.
 
 Nulls: a null text stays null; a null doc_id comes first.  Rows with the same
-doc_id and text are one document and are cleaned alike.  A text whose lines
+doc_id and text are one document and are cleaned alike; ties between
+occurrences go to the smaller (doc_id, row key, line number).  Texts of any
+length are taken whole.  Columns of any name are carried along.  A text whose lines
 all go becomes empty.  Empty tables give empty results.
 """
 
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.arrow import begin_task, string_bytes, text_slices
-from quillon.llm.common import Workspace, components, documents
+from quillon.llm.common import Workspace, components, documents, own_names
 
 MIN_WORDS = 4
 MIN_CHARS = 12
@@ -49,21 +54,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data),), "<u8", padded, strides=(1,))
+
+
 def string_hashes(values: pa.Array, seed: int = 0) -> np.ndarray:
     """64-bit hash of each string of a null-free large_string array."""
     data, bounds = string_bytes(values)
-    at = np.arange(len(data), dtype=np.uint64) - np.repeat(bounds[:-1], np.diff(bounds)).astype(np.uint64)
-    each = mix(data.astype(np.uint64) + at * np.uint64(256) + (np.uint64(seed) << np.uint64(56)))
+    sizes = np.diff(bounds)
+    counts = (sizes + 7) >> 3  # words of eight bytes
+    first = np.cumsum(counts) - counts
+    within = 8 * (np.arange(int(counts.sum())) - np.repeat(first, counts))
+    word = words_at(data)[np.repeat(bounds[:-1], counts) + within]
+    over = np.flatnonzero(counts) if len(counts) else counts  # the last word of each string may be cut
+    last, left = first[over] + counts[over] - 1, (sizes[over] - 8 * (counts[over] - 1)).astype(np.uint64)
+    word[last] &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left)
+    each = mix(mix(word) + (within.astype(np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15))
     run = np.concatenate([[np.uint64(0)], np.cumsum(each, dtype=np.uint64)])
-    return mix(run[bounds[1:]] - run[bounds[:-1]] + np.diff(bounds).astype(np.uint64))
+    return mix(run[first + counts] - run[first] + sizes.astype(np.uint64))
+
+
+#: Lower-case letters and digits stay, other ASCII becomes a blank; bytes of
+#: longer characters stay here.
+_PLAIN = np.array([c if chr(c).isalnum() or c > 127 else 32 for c in range(256)], dtype=np.uint8)
+
+
+def large_strings(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
 
 
 def normalised(lines: pa.Array) -> pa.Array:
-    return pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(lines), r"[^\pL\pN]+", " "))
+    """Lower case, letters and digits only, words one blank apart."""
+    lines = pc.utf8_lower(lines)
+    odd = pc.match_substring_regex(lines, r"[^\x00-\x7F\pL\pN]")  # other signs than ASCII's
+    if pc.any(odd).as_py():
+        lines = pc.if_else(odd, pc.replace_substring_regex(pc.if_else(odd, lines, pa.scalar("", pa.large_string())), r"[^\pL\pN]+", " "), lines)
+    data, bounds = string_bytes(lines)
+    data = _PLAIN[data]
+    blank = data == 32
+    again = np.empty_like(blank)  # a blank, or the line's begin, goes before
+    again[1:], again[:1] = blank[:-1], True
+    again[bounds[:-1][bounds[:-1] < len(data)]] = True
+    keep = ~(blank & again)
+    run = np.concatenate([[0], np.cumsum(keep)])
+    data, bounds = data[keep], run[bounds]
+    last = bounds[1:][bounds[1:] > bounds[:-1]] - 1
+    last = last[data[last] == 32]
+    keep = np.ones(len(data), dtype=bool)
+    keep[last] = False
+    return large_strings(data[keep], bounds - np.searchsorted(last, bounds))
 
 
-#: For each byte value, its bits as eight byte counters of one 64-bit lane.
-_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+_ONES = np.uint64(0x0101010101010101)
 
 
 def simhash(features: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -75,14 +119,15 @@ def simhash(features: np.ndarray, starts: np.ndarray) -> np.ndarray:
     begin = np.repeat(starts[:-1], pieces) + 255 * within
     ones = np.zeros((len(counts), 64), dtype=np.int64)
     if len(begin):
-        raw = features.view(np.uint8).reshape(-1, 8)
-        for byte in range(8):
-            lanes = np.add.reduceat(_LANES[raw[:, byte]], begin)
-            part = lanes.view(np.uint8).reshape(-1, 8)
+        lanes = np.empty_like(features)
+        for k in range(8):  # bit k of each byte, in eight byte counters
+            np.right_shift(features, np.uint64(k), out=lanes)
+            np.bitwise_and(lanes, _ONES, out=lanes)
+            part = np.add.reduceat(lanes, begin).view(np.uint8).reshape(-1, 8)
             if len(owner) == len(counts):
-                ones[:, 8 * byte : 8 * byte + 8] = part
+                ones[:, k::8] = part
             else:
-                np.add.at(ones[:, 8 * byte : 8 * byte + 8], owner, part.astype(np.int64))
+                np.add.at(ones[:, k::8], owner, part.astype(np.int64))
     bits = (2 * ones > counts[:, None]).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
@@ -94,8 +139,10 @@ def lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     owner = np.repeat(np.arange(len(texts)), counts)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     flat = normalised(lines.flatten())
-    words = np.diff(pc.split_pattern(flat, " ").offsets.to_numpy())
-    chars = pc.utf8_length(flat).to_numpy() - words + 1  # without the blanks between words
+    data, bounds = string_bytes(flat)
+    blanks = np.concatenate([[0], np.cumsum(data == 32)])
+    words = np.where(np.diff(bounds) > 0, 1 + blanks[bounds[1:]] - blanks[bounds[:-1]], 0)
+    chars = pc.utf8_length(flat).to_numpy() - np.maximum(words - 1, 0)  # without the blanks between words
     take = np.flatnonzero((words >= MIN_WORDS) | (chars >= MIN_CHARS))
     return owner[take], number[take], flat.take(pa.array(take))
 
@@ -106,15 +153,15 @@ def grams(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, bounds = string_bytes(lines)
     counts = np.maximum(np.diff(bounds) - GRAM + 1, 1)
     starts = np.concatenate([[0], np.cumsum(counts)])
-    first = np.arange(starts[-1]) + np.repeat(bounds[:-1] - starts[:-1], counts)
-    data = np.concatenate([data, np.zeros(GRAM, data.dtype)])
-    last = np.repeat(bounds[1:], counts) if (np.diff(bounds) < GRAM).any() else None
-    code = np.zeros(len(first), dtype=np.uint64)
-    for k in range(GRAM):
-        byte = data[first + k].astype(np.uint64)
-        if last is not None:
-            byte[first + k >= last] = 0
-        code = (code << np.uint64(8)) | byte
+    whole = words_at(data) & np.uint64((1 << 8 * GRAM) - 1)
+    inside = np.ones(len(data), dtype=bool)
+    for k in range(1, GRAM):  # no run begins at a line's last bytes, but at its first
+        late = bounds[1:] - k
+        inside[late[late > bounds[:-1]]] = False
+    code = whole[inside]
+    short = np.flatnonzero(np.diff(bounds) < GRAM)
+    if len(short):
+        code[starts[short]] &= (np.uint64(1) << (np.uint64(8) * np.diff(bounds)[short].astype(np.uint64))) - np.uint64(1)
     return mix(code), starts
 
 
@@ -143,6 +190,15 @@ def line_sketches(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return owner, number, string_hashes(flat, 1), simhash(*grams(flat))
 
 
+def _longest(most: int, equal) -> int:
+    """The largest k up to ``most`` for which ``equal`` holds, if it does below."""
+    lo, hi = 0, most
+    while lo < hi:
+        k = (lo + hi + 1) // 2
+        lo, hi = (k, hi) if equal(k) else (lo, k - 1)
+    return lo
+
+
 def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     """Whether 1 - distance / longer length is at least ``similarity``."""
     longer = max(len(a), len(b))
@@ -150,15 +206,17 @@ def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     allowed = int(round((1 - similarity) * longer, 9))
     if abs(len(a) - len(b)) > allowed:
         return False
-    lo, hi = 0, min(len(a), len(b))
-    while lo < hi and a[lo] == b[lo]:
-        lo += 1
-    end = 0
-    while end < hi - lo and a[-1 - end] == b[-1 - end]:
-        end += 1
+    most = min(len(a), len(b))
+    lo = _longest(most, lambda k: a[:k] == b[:k])
+    end = _longest(most - lo, lambda k: a[len(a) - k :] == b[len(b) - k :])
     a, b = a[lo : len(a) - end], b[lo : len(b) - end]
+    if max(len(a), len(b)) <= allowed:  # at most so many edits
+        return True
     if not a or not b:
-        return max(len(a), len(b)) <= allowed
+        return False
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q) <= allowed:
+        return True  # word by word
     # Myers' bit-vector distance, one big integer per column
     where: dict[str, int] = {}
     for i, c in enumerate(a):
@@ -184,9 +242,9 @@ def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return distance <= allowed
 
 
-def bit_filter(keys: DataFrame, column: str) -> np.ndarray:
+def bit_filter(keys: DataFrame, column: str, places=None) -> np.ndarray:
     """A filter of fixed size: a set bit for each key's two positions."""
-    places = keys.select(F.explode(F.array(*spots(column))).alias("p"))
+    places = keys.select(F.explode(F.array(*(places or spots)(column))).alias("p"))
     words = places.groupBy((F.col("p") / 64).cast("int").alias("w")).agg(
         F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("v")
     ).toPandas()  # at most FILTER_BITS / 64 rows
@@ -200,6 +258,15 @@ def spots(column: str) -> list:
     return [F.pmod(F.xxhash64(column, F.lit(s)), F.lit(FILTER_BITS)) for s in (1, 2)]
 
 
+def hash_spots(column: str) -> list:
+    """The positions of a key that is a hash itself; ``spots_of`` in numpy."""
+    return [F.shiftrightunsigned(column, 64 - 25 * s).bitwiseAND(F.lit(FILTER_BITS - 1)) for s in (1, 2)]
+
+
+def spots_of(keys: np.ndarray) -> list[np.ndarray]:
+    return [((keys.view(np.uint64) >> np.uint64(64 - 25 * s)) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for s in (1, 2)]
+
+
 def hits(bits: np.ndarray, *positions: np.ndarray) -> np.ndarray:
     """Which keys may be in the filter: false is for sure."""
     out = np.ones(len(positions[0]), dtype=bool)
@@ -208,8 +275,8 @@ def hits(bits: np.ndarray, *positions: np.ndarray) -> np.ndarray:
     return out
 
 
-def passes(spark: SparkSession, bits: np.ndarray, rows: DataFrame, column: str) -> DataFrame:
-    """Adds ``_pass``: false for sure where the key was never in the filter."""
+def passes(spark: SparkSession, bits: np.ndarray, rows: DataFrame, column: str, name: str = "_pass") -> DataFrame:
+    """Adds ``name``: false for sure where the key was never in the filter."""
     shared = spark.sparkContext.broadcast(bits)  # FILTER_BITS / 8 bytes
 
     @F.pandas_udf("boolean")
@@ -218,7 +285,7 @@ def passes(spark: SparkSession, bits: np.ndarray, rows: DataFrame, column: str)
 
         return pd.Series(hits(shared.value, p.to_numpy(np.int64), q.to_numpy(np.int64)))
 
-    return rows.withColumn("_pass", inside(*spots(column)))
+    return rows.withColumn(name, inside(*spots(column)))
 
 
 ROW_KEY = "xxhash64(doc_id, text)"
@@ -243,23 +310,90 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "rk long, doc_id long, line int, key long")
 
 
-def meetings(docs: DataFrame) -> DataFrame:
-    """(block, key, sim, size) of every line that takes part, once a table; a
-    line that a slice of texts repeats is sent once."""
+#: A line at a meeting place.
+_MEETING = np.dtype([("block", "<u8"), ("key", "<i8"), ("sim", "<u8"), ("size", "<i4")])
+#: Bytes of a bucket of meeting places, and of what a task packs at once.
+BUCKET_BYTES, PACK_BYTES = 16 << 20, 24 << 20
+
+
+def meetings(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """(bucket, raw): every line that takes part, once a table, as packed
+    ``_MEETING`` records; a line that a slice of texts repeats is sent once."""
+
+    def packed(parts):
+        rows = np.concatenate(parts)
+        bucket = ((rows["block"] >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.uint16 if n_buckets < 1 << 16 else np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        ends = np.append(first, len(rows)) * _MEETING.itemsize
+        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(rows[order])])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[order][first].astype(np.int64)), raw.cast(pa.binary())], ["bucket", "raw"])
 
     def run(batches):
         begin_task()
+        parts, held = [], 0
         for whole in batches:
-            for b in text_slices(whole):
+            for b in text_slices(whole, limit=2 << 20):
                 flat = lines_of(pc.fill_null(b.column("text"), "").cast(pa.large_string()))[2].unique()
-                key, size = string_hashes(flat, 1).view(np.int64), pc.utf8_length(flat).to_numpy().astype(np.int32)
                 features, starts = grams(flat)
-                sim, places = simhash(features, starts).view(np.int64), meeting_places(features, starts).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(places.ravel()), *(pa.array(np.repeat(x, TABLES)) for x in (key, sim, size))], ["block", "key", "sim", "size"]
-                )
+                rows = np.empty((len(flat), TABLES), dtype=_MEETING)
+                rows["block"] = meeting_places(features, starts)
+                rows["key"] = string_hashes(flat, 1).view(np.int64)[:, None]
+                rows["sim"] = simhash(features, starts)[:, None]
+                rows["size"] = pc.utf8_length(flat).to_numpy()[:, None]
+                if len(flat):
+                    parts.append(rows.ravel())
+                    held += parts[-1].nbytes
+                if held > PACK_BYTES:
+                    yield packed(parts)
+                    parts, held = [], 0
+        if parts:
+            yield packed(parts)
+
+    return docs.select("text").mapInArrow(run, "bucket long, raw binary")
+
+
+def _buckets(batches):
+    """The records of each bucket, sorted by place and line, each line once a place."""
+    now, parts = None, []
+    for b in batches:
+        for bucket, raw in zip(b.column("bucket").to_pylist(), b.column("raw")):
+            if bucket != now and parts:
+                yield _sorted(parts)
+                parts = []
+            now = bucket
+            parts.append(np.frombuffer(raw.as_buffer(), dtype=_MEETING))
+    if parts:
+        yield _sorted(parts)
+
+
+def _sorted(parts: list[np.ndarray]) -> np.ndarray:
+    rows = np.concatenate(parts)
+    rows = rows[np.lexsort((rows["key"], rows["block"]))]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows["block"][1:] != rows["block"][:-1]) | (rows["key"][1:] != rows["key"][:-1])
+    return rows[new]
+
+
+def candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, norm, places) of the lines whose key is in ``wanted``, once each;
+    ``places`` holds 32 bits of the line's place in each table."""
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "key", hash_spots))  # FILTER_BITS / 8 bytes
+
+    def run(batches):
+        begin_task()
+        for whole in batches:
+            for b in text_slices(whole, limit=2 << 20):
+                flat = lines_of(pc.fill_null(b.column("text"), "").cast(pa.large_string()))[2].unique()
+                key = string_hashes(flat, 1)
+                may = np.flatnonzero(hits(bits.value, *spots_of(key)))
+                flat = flat.take(pa.array(may))
+                places = meeting_places(*grams(flat)).astype("<u4")
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * TABLES), len(flat), [None, pa.py_buffer(places)])
+                yield pa.RecordBatch.from_arrays([pa.array(key[may].view(np.int64)), flat.cast(pa.string()), raw.cast(pa.binary())], ["key", "norm", "places"])
 
-    return docs.select("text").mapInArrow(run, "block long, key long, sim long, size int")
+    found = docs.select("text").mapInArrow(run, "key long, norm string, places binary").dropDuplicates(["key"])
+    return found.join(wanted.select("key").distinct(), "key", "left_semi")
 
 
 def _groups(batches, columns: list[str], by: list[str]):
@@ -299,15 +433,23 @@ def _near(sims: np.ndarray, sizes: np.ndarray):
     allow the similarity; in blocks of rows, so memory is linear in the group."""
     n = len(sims)
     step = max(1, (1 << 20) // max(n, 1))
-    floor = np.ceil(np.round(sizes * SIMILARITY, 6)).astype(sizes.dtype)  # of the shorter line
     for at in range(0, n, step):
         x = sims[at : at + step, None] ^ sims[None, :]
         i, j = np.nonzero(np.bitwise_count(x) <= MAX_BITS)
         i += at
-        own = (j > i) & (sizes[i] >= floor[j]) & (sizes[j] >= floor[i])
+        own = (j > i) & _fit(sizes[i], sizes[j])
         yield i[own], j[own]
 
 
+def _fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the shorter length allows the similarity."""
+    return np.minimum(a, b) >= np.ceil(np.round(np.maximum(a, b) * SIMILARITY, 6))
+
+
+def _may_pair(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (np.bitwise_count(bits) <= MAX_BITS) & _fit(a, b)
+
+
 def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
     """All columns of ``docs`` with repeated lines gone from ``text``, and their
     number under ``count_name``, which replaces a column of that name."""
@@ -316,47 +458,39 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
     place = F.struct(F.col("doc_id").isNotNull().alias("set"), "doc_id", "rk", "line")
     lines = work.table(found.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct")
 
-    met = meetings(docs).repartition("block").sortWithinPartitions("block", "key")
+    n_buckets = max(1, -(-lines.count() * TABLES * _MEETING.itemsize // BUCKET_BYTES))
+    met = meetings(docs, n_buckets).repartition("bucket").sortWithinPartitions("bucket")
 
     def candidates(batches):
         begin_task()
-        for table, _ in _groups(batches, ["block", "key", "sim", "size"], ["block"]):
-            again = np.zeros(table.num_rows, dtype=bool)  # the same line, from another slice
-            again[1:] = np.logical_and.reduce([np.diff(table.column(c).to_numpy()) == 0 for c in ("block", "key")])
-            table, rows = table.filter(pa.array(~again)), []
-            sims, sizes = table.column("sim").to_numpy().view(np.uint64), table.column("size").to_numpy()
-            for lo, hi in _bounds(table, ["block"]):
-                near = np.zeros(hi - lo, dtype=bool)
-                for i, j in _near(sims[lo:hi], sizes[lo:hi]):
-                    near[i] = near[j] = True
-                rows.append(lo + np.flatnonzero(near))
-            if rows:
-                yield from table.take(pa.array(np.concatenate(rows))).to_batches()
+        for rows in _buckets(batches):
+            starts = np.flatnonzero(np.diff(rows["block"], prepend=rows["block"][0] + np.uint64(1)))
+            counts = np.diff(np.append(starts, len(rows)))
+            near = np.zeros(len(rows), dtype=bool)
+            two = starts[counts == 2]
+            x = rows[two], rows[two + 1]
+            ok = _may_pair(x[0]["sim"] ^ x[1]["sim"], x[0]["size"], x[1]["size"])
+            near[two[ok]] = near[two[ok] + 1] = True
+            for lo, n in zip(starts[counts > 2].tolist(), counts[counts > 2].tolist()):
+                for i, j in _near(rows["sim"][lo : lo + n], rows["size"][lo : lo + n]):
+                    near[lo + i] = near[lo + j] = True
+            rows = rows[near]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c]).view(np.int64)) for c in ("block", "key", "sim")] + [pa.array(np.ascontiguousarray(rows["size"]))], ["block", "key", "sim", "size"])
 
     near = work.table(met.mapInArrow(candidates, "block long, key long, sim long, size int"), "near")
-    wanted = work.table(near.select("key").distinct().join(lines, "key").select("key", F.col("first.rk").alias("rk"), F.col("first.line").alias("line")), "wanted")
-    source = docs.select(F.expr(ROW_KEY).alias("rk"), "text")
-    source = passes(spark, bit_filter(wanted, "rk"), source, "rk").where("_pass").drop("_pass")
-
-    def extract(batches):
-        begin_task()
-        for b in batches:
-            texts = pc.fill_null(b.column("text"), "").cast(pa.large_string())
-            out = [t.as_py().split("\n")[k] for t, k in zip(texts, b.column("line").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("key"), normalised(pa.array(out, pa.large_string())).cast(pa.string())], ["key", "norm"])
-
-    texts = wanted.hint("merge").join(source.dropDuplicates(["rk"]), "rk").select("key", "line", "text").mapInArrow(extract, "key long, norm string")
     # both sides grow with the input: the same plan at every size
-    meeting = near.join(texts.hint("merge"), "key").repartition("block").sortWithinPartitions("block", "key")
+    meeting = near.join(candidate_texts(docs, near).hint("merge"), "key").repartition("block").sortWithinPartitions("block", "key")
 
     def verify(batches):
         begin_task()
-        for table, _ in _groups(batches, ["block", "key", "sim", "size", "norm"], ["block"]):
+        for table, _ in _groups(batches, ["block", "key", "sim", "size", "norm", "places"], ["block"]):
             a, b = [], []
             sims, keys = table.column("sim").to_numpy().view(np.uint64), table.column("key").to_pylist()
-            sizes = table.column("size").to_numpy()
+            sizes, blocks = table.column("size").to_numpy(), table.column("block").to_numpy().view(np.uint64)
             for lo, hi in _bounds(table, ["block"]):
                 text = table.column("norm").slice(lo, hi - lo).to_pylist()
+                places = np.frombuffer(b"".join(table.column("places").slice(lo, hi - lo).to_pylist()), "<u4").reshape(-1, TABLES)
+                here = int(np.flatnonzero((places == blocks[lo].astype(np.uint32)).all(axis=0))[0])  # the table they meet in
                 root = list(range(hi - lo))
 
                 def find(i, root=root):
@@ -366,7 +500,8 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
                     return i
 
                 for i, j in _near(sims[lo:hi], sizes[lo:hi]):
-                    for p, q in zip(i.tolist(), j.tolist()):
+                    fresh = ~(places[i, :here] == places[j, :here]).any(axis=1)  # else compared there
+                    for p, q in zip(i[fresh].tolist(), j[fresh].tolist()):
                         p_, q_ = find(p), find(q)
                         if p_ != q_ and edit_similar(text[p], text[q]):
                             root[q_] = p_
@@ -382,16 +517,27 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
     stay = grouped.groupBy("component").agg(F.min("first").alias("stay"))
     fate = grouped.join(stay, "component").select("key", "stay")
     gone = found.join(fate, "key").where("not (rk = stay.rk and line = stay.line)")
-    drops = work.table(gone.groupBy(F.col("rk").alias("_d_rk")).agg(F.collect_set("line").alias("_d_lines")), "drops")
-
-    tagged = passes(spark, bit_filter(drops, "_d_rk"), docs.drop(count_name).withColumn("_rk", F.expr(ROW_KEY)), "_rk")
-    clean = tagged.where("not _pass").drop("_rk", "_pass").withColumn(count_name, F.lit(0))
-    some = tagged.where("_pass").join(drops.hint("merge"), F.col("_rk") == F.col("_d_rk"), "left")
-    hit, gone_lines = F.col("_d_lines").isNotNull(), F.col("_d_lines")
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone_lines, i))
-    some = some.withColumn("text", F.when(hit, F.array_join(left, "\n")).otherwise(F.col("text")))
-    some = some.withColumn(count_name, F.when(hit, F.size(gone_lines)).otherwise(F.lit(0)))
-    return clean.unionByName(some.select(*clean.columns))
+    drops = work.table(gone.groupBy(F.col("rk").alias("rk")).agg(F.collect_set("line").alias("lines")), "drops")
+
+    docs = docs.drop(count_name)
+    rk, inside, lost = own_names(docs, "rk", "pass", "lost")
+    tagged = passes(spark, bit_filter(drops, "rk"), docs.withColumn(rk, F.expr(ROW_KEY)), rk, inside)
+    clean = tagged.where(~F.col(inside)).drop(rk, inside).withColumn(count_name, F.lit(0))
+    drops = drops.select(F.col("rk").alias(rk), F.col("lines").alias(lost))
+    some = tagged.where(inside).drop(inside).join(drops.hint("merge"), rk, "left").drop(rk)
+
+    def rewrite(batches):
+        for b in batches:
+            names = b.schema.names
+            texts, gone = b.column(names.index("text")).to_pylist(), b.column(names.index(lost)).to_pylist()
+            for i, numbers in enumerate(gone):
+                if numbers is not None:
+                    numbers = set(numbers)
+                    texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in numbers)
+            arrays = [pa.array(texts, b.column(k).type) if c == "text" else b.column(k) for k, c in enumerate(names) if c != lost]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([len(x or ()) for x in gone], pa.int32())], [*(c for c in names if c != lost), count_name])
+
+    return clean.unionByName(some.mapInArrow(rewrite, clean.schema))
 
 
 def op7_line_dedup(spark, sf_dir):

@@ -41,7 +41,7 @@ def make(spark, texts, extra: bool = True):
     df = spark.createDataFrame(data, SCHEMA)
     if extra:
         names = ["length", "start", "shard", "key", "rk", "kept", "score", "lang_pred", "n_words", "drop", "component", "_pass", "size"]
-        df = df.withColumns({c: F.lit("own") for c in names if c != "_pass"})
+        df = df.withColumns({c: F.lit("own") for c in names})
     return df
 
 
@@ -457,6 +457,70 @@ def test_line_recall_against_edit_similarity_alone(spark):
     assert sum(got.values()) == found
 
 
+def similar_pairs(lines):
+    """All pairs of lines at edit similarity 0.8, found without the operator's
+    hashes: an edit changes at most three trigrams, so most pairs fall by counts."""
+    grams = np.zeros((len(lines), 512), dtype=np.int16)
+    for i, x in enumerate(lines):
+        for k in range(len(x) - 2):
+            grams[i, zlib.crc32(x[k : k + 3].encode()) % 512] += 1
+    sizes = np.array([len(x) for x in lines])
+    for i, x in enumerate(lines):
+        rest = grams[i + 1 :]
+        more = np.maximum(grams[i] - rest, 0).sum(axis=1), np.maximum(rest - grams[i], 0).sum(axis=1)
+        allowed = 0.2 * np.maximum(sizes[i], sizes[i + 1 :]) + 1e-6
+        for j in np.flatnonzero((np.abs(sizes[i + 1 :] - sizes[i]) <= allowed) & (np.maximum(*more) <= 3 * allowed)):
+            if line_dedup.edit_similar(x, lines[i + 1 + j]):
+                yield i, i + 1 + int(j)
+
+
+def test_line_recall_on_real_lines(spark):
+    """Lines dropped against those that brute force over all pairs drops."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    texts = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    owner, number, flat = line_dedup.lines_of(pa.array([t for _, t in texts], pa.large_string()))
+    lines = flat.to_pylist()
+    distinct = list(dict.fromkeys(lines))
+    root = list(range(len(distinct)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = list(similar_pairs(distinct))
+    features, starts = line_dedup.grams(pa.array(distinct, pa.large_string()))
+    places, sims = line_dedup.meeting_places(features, starts), line_dedup.simhash(features, starts)
+    met = [bool((places[i] == places[j]).any()) and int(sims[i] ^ sims[j]).bit_count() <= line_dedup.MAX_BITS for i, j in pairs]
+    print(f"line pairs at edit similarity 0.8: {len(pairs)}, met: {sum(met) / len(pairs):.3f}")
+    assert sum(met) >= 0.9 * len(pairs)
+    for i, j in pairs:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    seen, want = set(), 0
+    for x in lines:
+        group = find(distinct.index(x))
+        want += group in seen
+        seen.add(group)
+    got = sum(r.n_dropped for r in line_dedup.dedup_lines(docs).collect())
+    assert 0.9 * want <= got <= want
+
+
+def test_lines_are_compared_once(spark):
+    """Lines that meet in many tables are compared in the first only."""
+    base = passage(77, 40)
+    near = [edited(base, i, 1) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate([base, *near])), "doc_id long, text string")
+    assert sorted(r.n_dropped for r in line_dedup.dedup_lines(docs).collect()) == [0] + [1] * 12
+
+
+def test_line_dedup_carries_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "one two three four five\nsix"), (2, "one two three four five\nseven")], "doc_id long, text string")
+    names = ["_rk", "_pass", "_lost", "_d_rk", "_d_lines", "key", "block"]
+    got = line_dedup.dedup_lines(docs.withColumns({n: F.lit("own") for n in names})).orderBy("doc_id").collect()
+    assert [r.text for r in got] == ["one two three four five\nsix", "seven"]
+    assert all(r[n] == "own" for r in got for n in names)
+
+
 def test_edit_similarity():
     def distance(a, b):
         row = list(range(len(b) + 1))
