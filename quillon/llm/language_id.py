@@ -38,6 +38,8 @@ EMBEDDING = 8
 SAMPLE = 2000
 WINDOWS_PER_DOC = 2
 EPOCHS, BATCH, RATE = 8, 64, 0.004
+#: Steps of training at least, so that a small sample is learnt as well.
+STEPS = 1000
 
 
 @dataclass
@@ -157,8 +159,8 @@ def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, seed: int
     second = {k: np.zeros_like(getattr(net, k)) for k in names}
     share = np.bincount(y, minlength=len(labels))
     weight = (share.sum() / (len(labels) * share)).astype(np.float32)
-    step = 0
-    for epoch in range(EPOCHS):
+    step, epochs = 0, max(EPOCHS, -(-STEPS // -(-len(x) // BATCH)))
+    for epoch in range(epochs):
         order = rng.permutation(len(x))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
@@ -187,7 +189,7 @@ def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, seed: int
                 "weights": hidden.T @ p,
                 "shift": p.sum(axis=0),
             }
-            rate = RATE * (1 - epoch / EPOCHS)
+            rate = RATE * (1 - epoch / epochs)
             for k in names:
                 first[k] = 0.9 * first[k] + 0.1 * grads[k]
                 second[k] = 0.999 * second[k] + 0.001 * grads[k] ** 2
