@@ -4,18 +4,21 @@ The pre-tokenizer of a byte-level vocabulary never lets a token cross from a
 non-blank character to a following blank, so a text falls apart into pieces
 (a word with the one blank before it) that encode independently of their
 neighbours.  Each distinct piece is encoded once per worker; a text's ids are
-then a gather over its pieces.
-
-The result equals ``Tokenizer.encode(text, add_special_tokens=False)`` with
-``encode_special_tokens`` on.  Texts whose blanks touch one another, and pieces
-outside plain Latin words, go through the library's whole path.
+then a gather over its pieces.  New pieces of a slice are merged together: in
+each step every word takes its merge of the lowest rank, the leftmost of equals.
+
+The result equals ``Tokenizer.encode(text, add_special_tokens=False)``; with
+``encode_special_tokens`` the vocabulary's special tokens are text like any
+other, as that setting of the library says.  Texts whose blanks touch one
+another or that hold an added token, and pieces outside plain Latin words, go
+through the library's whole path.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +44,99 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Merges:
+    """The merge rules of a byte-level vocabulary, applied to many words at once."""
+
+    NONE = np.int32(np.iinfo(np.int32).max)
+    #: Longest words of each batch, in symbols; longer ones go to the library.
+    WIDTHS = (4, 8, 12, 16, 24, 48)
+
+    def __init__(self, model: dict, symbols: dict[int, str]):
+        vocab = model["vocab"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.size = max(vocab.values()) + 1
+        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], dtype=np.int64)
+        _, last = np.unique(keys[::-1], return_index=True)  # of a pair named twice the later rank holds
+        rank = len(keys) - 1 - last
+        order = np.argsort(keys[rank])
+        self.keys, self.rank = keys[rank][order], rank[order].astype(np.int32)
+        self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
+        self.first = np.full(max(map(ord, symbols.values())) + 1, -1, dtype=np.int32)
+        for c in symbols.values():
+            self.first[ord(c)] = vocab[c]
+
+    @classmethod
+    def of(cls, tok, symbols: dict[int, str]) -> "Merges | None":
+        """None where the vocabulary has rules beyond plain merges."""
+        model = json.loads(tok.to_str())["model"]
+        extra = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        if model.get("type") != "BPE" or any(model.get(k) for k in extra) or not set(symbols.values()) <= model["vocab"].keys():
+            return None
+        return cls(model, symbols)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair; NONE where there is no rule or no symbol (-1)."""
+        key = left.astype(np.int64) * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.rank[at], self.NONE)
+
+    def __call__(self, words: list[str]) -> list[bytes | None]:
+        """Little-endian ids of each word; None for those that are too long."""
+        out: list[bytes | None] = [None] * len(words)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        lo = 0
+        for width in self.WIDTHS:
+            some = np.flatnonzero((sizes > lo) & (sizes <= width))
+            lo = width
+            if len(some):
+                points = np.frombuffer("".join(words[i] for i in some.tolist()).encode("utf-32-le"), dtype="<u4")
+                grid = np.full((len(some), width), -1, dtype=np.int32)
+                grid[np.arange(width) < sizes[some, None]] = self.first[points]
+                ids, counts = self._merge(grid)
+                raw, ends = ids[ids >= 0].astype("<u4").tobytes(), np.cumsum(counts) * 4
+                for i, a, z in zip(some.tolist(), (ends - counts * 4).tolist(), ends.tolist()):
+                    out[i] = raw[a:z]
+        return out
+
+    def _merge(self, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, width = grid.shape
+        ranks = self._ranks(grid[:, :-1].ravel(), grid[:, 1:].ravel()).reshape(n, width - 1)
+        done, rows, column = grid.copy(), np.arange(n), np.arange(width)
+        while len(rows):
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(rows)), at]
+            left = best != self.NONE
+            if not left.all():
+                done[rows[~left]] = grid[~left]
+                rows, grid, ranks, at, best = rows[left], grid[left], ranks[left], at[left], best[left]
+                if not len(rows):
+                    break
+            k = np.arange(len(rows))
+            grid[k, at] = self.made[best]
+            grid = np.take_along_axis(np.pad(grid, ((0, 0), (0, 1)), constant_values=-1), column + (column > at[:, None]), axis=1)
+            ranks = np.take_along_axis(np.pad(ranks, ((0, 0), (0, 1)), constant_values=self.NONE), column[:-1] + (column[:-1] >= at[:, None]), axis=1)
+            before, after = np.flatnonzero(at > 0), np.flatnonzero(at < width - 1)
+            ranks[before, at[before] - 1] = self._ranks(grid[before, at[before] - 1], grid[before, at[before]])
+            ranks[after, at[after]] = self._ranks(grid[after, at[after]], grid[after, at[after] + 1])
+        return done, (done >= 0).sum(axis=1)
+
+
 class ByteBpe:
     """Encodes string arrays to id arrays; null texts encode as empty."""
 
-    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES, encode_special_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = encode_special_tokens
+        self.n_ids = self.tok.get_vocab_size(with_added_tokens=True)
+        added = self.tok.get_added_tokens_decoder().values()
+        #: Texts with one of these take the library's whole path.
+        self.added = [t.content for t in added if not (encode_special_tokens and t.special)]
         self.model = self.tok.model
         self.symbols = _byte_symbols()
+        self.merges = Merges.of(self.tok, self.symbols)
         self.cache_entries = cache_entries
         self.newline = self._whole("\n")
         self.young: dict[str, bytes] = {}
@@ -61,8 +146,9 @@ class ByteBpe:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _piece(self, key: str) -> bytes:
-        """Ids of a piece: a line break and a word, or a space and a word."""
+    def _split(self, key: str) -> tuple[str, ...] | None:
+        """The pre-tokens of a piece (a line break and a word, or a space and a
+        word), the line break left out; None where only the library knows."""
         broken = key[:1] == "\n"
         word = key[1:] if broken else key
         plain = word.isascii()
@@ -73,25 +159,35 @@ class ByteBpe:
         else:
             m = _PLAIN.fullmatch(word)
             if not m:
-                return self.newline + self._whole(word) if broken else self._whole(" " + key)
+                return None
             letters, marks = m.groups()
             if not letters.isascii():
                 letters = letters.encode().decode("latin-1").translate(self.symbols)
         space = "" if broken else self.symbols[32]
         if letters:
-            ids = self._stem(space + letters) + (self._stem(marks) if marks else b"")
-        else:
-            ids = self._stem(space + marks)
-        return self.newline + ids if broken else ids
-
-    def _stem(self, symbols: str) -> bytes:
-        """Ids of one pre-token; words that differ in marks only share it."""
-        ids = self.stems.get(symbols)
-        if ids is None:
-            if len(self.stems) > self.cache_entries:
-                self.stems = {}
-            ids = self.stems[symbols] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes() if symbols else b""
-        return ids
+            return (space + letters, marks) if marks else (space + letters,)
+        return (space + marks,) if space or marks else ()
+
+    def _pieces(self, keys: list[str]) -> list[bytes]:
+        """Ids of new pieces; words that differ in marks only share their stem."""
+        parts = [self._split(k) for k in keys]
+        if len(self.stems) > self.cache_entries:
+            self.stems = {}
+        stems = self.stems
+        new = list(dict.fromkeys(s for p in parts if p for s in p if s not in stems))
+        for stem, ids in zip(new, self.merges(new) if self.merges else [None] * len(new)):
+            if ids is None:
+                ids = np.array([t.id for t in self.model.tokenize(stem)], dtype="<u4").tobytes()
+            stems[stem] = ids
+        out = []
+        for key, own in zip(keys, parts):
+            broken = key[:1] == "\n"
+            if own is None:
+                ids = self._whole(key[1:] if broken else " " + key)
+            else:
+                ids = b"".join([stems[s] for s in own])
+            out.append(self.newline + ids if broken else ids)
+        return out
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an array's texts, and where each text begins (n + 1 offsets)."""
@@ -100,7 +196,9 @@ class ByteBpe:
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         n = len(texts)
         # Every piece is preceded by one blank; the break before the text is dropped below.
-        odd = pc.match_substring_regex(texts, r"[\s\pZ\x{85}\v][\s\pZ\x{85}\v]").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, r"[\s\pZ\x{85}\v][\s\pZ\x{85}\v]").to_numpy(zero_copy_only=False).copy()
+        for token in self.added:
+            odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         broken, none = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
         marked = pc.binary_join_element_wise(broken, pc.replace_substring(texts, "\n", " \n"), none)
         lists = pc.split_pattern(marked, " ")
@@ -109,12 +207,17 @@ class ByteBpe:
         keys = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist
         if len(self.young) > self.cache_entries:
             self.old, self.young = self.young, {}
-        young, old, piece = self.young, self.old, self._piece
+        young, old = self.young, self.old
         pieces = list(map(young.get, keys))
-        for i, got in enumerate(pieces):
-            if got is None:
-                k = keys[i]
-                pieces[i] = young[k] = old.get(k) or piece(k)
+        new = []
+        for i in [i for i, got in enumerate(pieces) if got is None]:
+            ids = old.get(keys[i])
+            if ids is None:
+                new.append(i)
+            else:
+                pieces[i] = young[keys[i]] = ids
+        for i, ids in zip(new, self._pieces([keys[i] for i in new])):
+            pieces[i] = young[keys[i]] = ids
         lens = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
         store = np.frombuffer(b"".join(pieces), dtype="<u4")
         starts = np.cumsum(lens) - lens
@@ -139,12 +242,12 @@ class ByteBpe:
         return ids, bounds
 
 
-_OPEN: dict[str, ByteBpe] = {}
+_OPEN: dict[tuple[str, bool], ByteBpe] = {}
 
 
-def byte_bpe(path: str, cache_entries: int = CACHE_ENTRIES) -> ByteBpe:
+def byte_bpe(path: str, cache_entries: int = CACHE_ENTRIES, encode_special_tokens: bool = False) -> ByteBpe:
     """The worker's encoder for a vocabulary file (kept between its own tasks)."""
     begin_task("byte_bpe", _OPEN.clear)
-    if path not in _OPEN:
-        _OPEN[path] = ByteBpe(path, cache_entries)
-    return _OPEN[path]
+    if (path, encode_special_tokens) not in _OPEN:
+        _OPEN[path, encode_special_tokens] = ByteBpe(path, cache_entries, encode_special_tokens)
+    return _OPEN[path, encode_special_tokens]

@@ -7,7 +7,9 @@ the emptiest kind of pack that still has room, keeping counts per packing
 pattern.  Pieces then find their pack by their rank within their length.
 
 Nulls: a null text packs as its end id alone; a null doc_id is kept.  Empty
-tables give empty results; repeated rows are packed once each.
+tables give empty results; repeated rows are packed once each, and pieces that
+tie in every column take their ranks in any order.  Texts of any length are cut
+whole.  Only doc_id and text are read; other columns take no part.
 """
 
 from __future__ import annotations
@@ -32,11 +34,11 @@ END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def cut(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False, encode_special_tokens: bool = False) -> DataFrame:
     """The pieces of every document; ``with_ids`` adds their little-endian ids."""
 
     def pieces(batches):
-        encoder = byte_bpe(tokenizer, CACHE_ENTRIES)
+        encoder = byte_bpe(tokenizer, CACHE_ENTRIES, encode_special_tokens)
         for whole in batches:
             for batch in text_slices(whole, limit=2 << 20):
                 ids, bounds = encoder.encode_array(batch.column("text"))
@@ -130,10 +132,10 @@ def place(pieces: DataFrame, max_tokens: int = MAX_TOKENS, n_salts: int = 64) ->
     return ranked.mapInArrow(assign, f"{fields}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False, encode_special_tokens: bool = False) -> DataFrame:
     """Pieces of all documents with their sequence and offset."""
     work = Workspace(docs.sparkSession, "packing")
-    pieces = work.table(cut(docs, tokenizer, max_tokens, end_id, with_ids), "pieces")
+    pieces = work.table(cut(docs, tokenizer, max_tokens, end_id, with_ids, encode_special_tokens), "pieces")
     return place(pieces, max_tokens)
 
 

@@ -8,15 +8,18 @@ digest of its bytes.  The store holds, in ascending doc_id order,
 * a recipe per document: its start in the whole id stream, its number of ids,
   its chunks' addresses and sizes, and the Merkle root over the addresses;
 * each distinct chunk's ids once, beside the recipe of its first document;
-* a manifest: per bucket of documents the Merkle root over their roots.
+* a manifest: per bucket of documents the Merkle root over their roots, and one
+  root over those of all buckets.
 
 Reading back takes most chunks from the recipe's own row; only chunks that
 several documents share are sent to the others.  Each chunk's digest and each
 document's root are verified, and a mismatch raises.
 
 Nulls: a null text is an empty document with the end id alone; a null doc_id
-sorts first.  Empty tables give empty stores; repeated rows are stored as
-recipes over the same chunks.
+sorts first.  Ties of doc_id are ordered by their documents' roots.  Empty
+tables give empty stores; repeated rows are stored as recipes over the same
+chunks.  Texts of any length are encoded whole.  Only doc_id and text are read;
+other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -38,8 +41,9 @@ END_ID = 0
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 64, 9, 4096
 WINDOW = 16
 DIGEST = 16
-#: Ids a bucket of documents should hold.
-BUCKET_IDS = 8 << 20
+#: Ids a bucket of documents should hold, and buckets at most: beyond that many
+#: they grow.  A bucket is sorted on disk and streamed, so its size costs no memory.
+BUCKET_IDS, MAX_BUCKETS = 8 << 20, 4096
 
 ENCODED = "uid long, doc_id long, digest binary, n_tokens long, sizes array<int>, hashes binary, payload binary"
 RECORD = (
@@ -93,11 +97,20 @@ def cut_points(marks: np.ndarray, n: int) -> list[int]:
     return ends
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, width: int = 2) -> DataFrame:
-    """Chunked ids of every document; ids are stored in ``width`` bytes."""
+def id_width(tokenizer: str, end_id: int) -> int:
+    """Bytes that hold every id of a vocabulary and the end id."""
+    from tokenizers import Tokenizer
+
+    largest = max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values())
+    return 2 if largest < 1 << 16 else 4
+
+
+def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, encode_special_tokens: bool = False) -> DataFrame:
+    """Chunked ids of every document."""
+    width = id_width(tokenizer, end_id)
 
     def run(batches):
-        encoder, kind = byte_bpe(tokenizer), f"<u{width}"
+        encoder, kind = byte_bpe(tokenizer, encode_special_tokens=encode_special_tokens), f"<u{width}"
         mask = np.uint64((1 << MASK_BITS) - 1) << np.uint64(40)
         for whole in batches:
             for batch in text_slices(whole, limit=8 << 20):
@@ -144,12 +157,14 @@ def _chunk_rows(coded: DataFrame) -> DataFrame:
     return coded.select("uid", "doc_id", "digest", F.posexplode(each).alias("idx", "hash"))
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, bucket_ids: int = BUCKET_IDS) -> dict:
-    """Writes the store to ``path`` and returns its totals."""
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, bucket_ids: int = BUCKET_IDS, encode_special_tokens: bool = False) -> dict:
+    """Writes the store to ``path`` and returns its totals; special tokens are
+    recognised as the library does by default, or with ``encode_special_tokens``
+    encoded as plain text."""
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "token_store")
-    coded = work.table(encode(docs, tokenizer, end_id), "coded")
+    coded = work.table(encode(docs, tokenizer, end_id, encode_special_tokens), "coded")
     total = coded.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    n_buckets = max(1, -(-total[1] // bucket_ids))
+    n_buckets = min(MAX_BUCKETS, max(1, -(-total[1] // bucket_ids)))
     edges = []
     if n_buckets > 1:
         shares = [i / n_buckets for i in range(1, n_buckets)]
@@ -157,7 +172,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, buck
     # bucket = how many edges lie below the doc_id; a null doc_id comes first
     below = F.size(F.filter(F.array(*[F.lit(int(e)).cast("long") for e in edges]), lambda e: e < F.col("doc_id"))) if edges else F.lit(0)
     bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(below).cast("int")
-    sums = coded.groupBy(bucket.alias("bucket")).agg(F.sum("n_tokens")).collect()  # one row per bucket
+    sums = coded.groupBy(bucket.alias("bucket")).agg(F.sum("n_tokens")).collect()  # at most MAX_BUCKETS rows
     starts, at = {}, 0
     for b, n in sorted(map(tuple, sums)):
         starts[b], at = at, at + n
@@ -176,7 +191,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, buck
     empty = F.array().cast("array<int>")
     rows = coded.select(bucket.alias("bucket"), "doc_id", "digest", "uid", F.lit(1).alias("tag"), "n_tokens", "sizes", "hashes", "payload", empty.alias("refs"), empty.alias("shared"))
     side = notes.select(bucket.alias("bucket"), "doc_id", "digest", "uid", F.lit(0).alias("tag"), F.lit(0).cast("long").alias("n_tokens"), empty.alias("sizes"), F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("payload"), "refs", "shared")
-    dealt = rows.unionByName(side).repartition(min(n_buckets, 4096), "bucket").sortWithinPartitions("bucket", "doc_id", "digest", "uid", "tag")
+    dealt = rows.unionByName(side).repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "doc_id", "digest", "uid", "tag")
 
     def compact(batches):
         begin_task()
@@ -214,11 +229,22 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, buck
     work.drop("coded")
     if total[0]:
         _roots(spark.read.schema(RECORD).parquet(f"{path}/records")).write.parquet(f"{path}/manifest")
+        whole = _whole_root(spark.read.schema(MANIFEST).parquet(f"{path}/manifest"))
+        spark.createDataFrame([whole], ROOT).coalesce(1).write.parquet(f"{path}/root")
     return {"documents": total[0], "ids": total[1], "buckets": n_buckets}
 
 
+MANIFEST = "bucket int, documents long, ids long, root binary"
+ROOT = "documents long, ids long, root binary"
 RECORD_NAMES = [f.split()[0] for f in RECORD.split(", ")]
 
+
+def _whole_root(manifest: DataFrame) -> tuple[int, int, bytes]:
+    """Documents, ids and the root over all buckets in order."""
+    rows = sorted(tuple(r) for r in manifest.select("bucket", "documents", "ids", "root").collect())  # at most MAX_BUCKETS
+    return sum(r[1] for r in rows), sum(r[2] for r in rows), merkle_root([bytes(r[3]) for r in rows])
+
+
 def _roots(records: DataFrame) -> DataFrame:
     """Per bucket: counts, and the Merkle root over its documents' roots in order."""
     rows = records.select("bucket", "start", "uid", "n_tokens", "root").repartition("bucket").sortWithinPartitions("bucket", "start", "uid")
@@ -242,16 +268,19 @@ def _roots(records: DataFrame) -> DataFrame:
             ["bucket", "documents", "ids", "root"],
         )
 
-    return rows.mapInArrow(fold, "bucket int, documents long, ids long, root binary")
+    return rows.mapInArrow(fold, MANIFEST)
 
 
 def verify(spark: SparkSession, path: str) -> None:
     """Raises unless the manifest holds for the recipes in the store."""
-    kept = spark.read.schema("bucket int, documents long, ids long, root binary").parquet(f"{path}/manifest")
+    kept = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     now = _roots(spark.read.schema(RECORD).parquet(f"{path}/records"))
     wrong = kept.exceptAll(now).unionByName(now.exceptAll(kept)).limit(1).collect()
     if wrong:
         raise ValueError(f"manifest mismatch in bucket {wrong[0]['bucket']}")
+    stored = spark.read.schema(ROOT).parquet(f"{path}/root").first()
+    if stored is None or _whole_root(kept) != (stored["documents"], stored["ids"], bytes(stored["root"])):
+        raise ValueError("the manifest does not match the store's root")
 
 
 def _rebuild(record: dict, fetched: dict[int, bytes]) -> bytes:
