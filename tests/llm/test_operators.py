@@ -53,11 +53,11 @@ def empty(spark):
 # ---------------------------------------------------------------- token ids
 
 
-def whole_ids(texts):
+def whole_ids(texts, plain=False):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = plain
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -67,6 +67,26 @@ def test_cached_encoder_equals_the_library():
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == whole_ids(texts)
 
 
+def test_special_tokens_as_the_library_has_them():
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x\n<|endoftext|>y", "<|endoftext", None]
+    for plain in (False, True):
+        ids, bounds = byte_bpe(BPE, encode_special_tokens=plain).encode_array(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == whole_ids(texts, plain)
+    assert whole_ids(texts[:1]) == [[50256]]
+
+
+def test_merges_of_many_words_equal_the_library():
+    encoder, rng = byte_bpe(BPE), random.Random(6)
+    words = ["".join(rng.choices("abehinorst", k=rng.randint(1, 60))) for _ in range(3000)] + ["a" * k for k in range(1, 60)]
+    for word, ids in zip(words, encoder.merges(words)):
+        want = [t.id for t in encoder.model.tokenize(word)]
+        assert ids is None and len(word) > encoder.merges.WIDTHS[-1] or np.frombuffer(ids, "<u4").tolist() == want
+
+
+def test_ids_are_as_wide_as_the_vocabulary_needs(tmp_path):
+    assert token_store.id_width(BPE, 0) == 2 and token_store.id_width(BPE, 1 << 16) == 4
+
+
 def test_cache_restarts(monkeypatch):
     from quillon.llm.byte_bpe import ByteBpe
 
@@ -591,12 +611,12 @@ def test_lm_scores_prefer_what_it_learnt(spark, empty):
     ordered = [" ".join(chain[(s + k) % 40] for k in range(120)) for s in range(80)]
     mixed = [" ".join(rng.choices(chain, k=120)) for _ in range(4)]
     docs = make(spark, ordered + mixed + [None, "", "..."])
-    got = {r.doc_id: r for r in lm_scoring.score(docs, *lm_scoring.train(docs)).collect()}
+    got = {r.doc_id: r for r in lm_scoring.score(docs, lm_scoring.train(docs)).collect()}
     good = np.mean([got[i].mean_log_likelihood for i in range(80)])
     bad = np.mean([got[i].mean_log_likelihood for i in range(80, 84)])
     assert good > bad + 0.5
     assert [(got[i].n_tokens, got[i].log_likelihood) for i in (84, 85, 86)] == [(0, 0.0)] * 3
-    assert len(got) == 88 and lm_scoring.score(empty, *lm_scoring.train(empty)).collect() == []
+    assert len(got) == 88 and lm_scoring.score(empty, lm_scoring.train(empty)).collect() == []
 
 
 def test_lm_tells_words_of_one_token_apart(spark):
@@ -608,10 +628,66 @@ def test_lm_tells_words_of_one_token_apart(spark):
     often, once = next((a, b) for a in tokens for b in tokens if a != b and tokens[a] == tokens[b])
     texts = [" ".join(common * 4)] * 3 + [" ".join([*rng.choices(common, k=30), often]) for _ in range(9)] + [f"c1 c2 {w} c3 c4" for w in (often, once)]
     docs = make(spark, texts, extra=False)
-    got = {r.doc_id: r.log_likelihood for r in lm_scoring.score(docs, *lm_scoring.train(docs)).collect()}
+    got = {r.doc_id: r.log_likelihood for r in lm_scoring.score(docs, lm_scoring.train(docs)).collect()}
     assert abs(got[12] - got[13] - np.log(10 / 2)) < 1e-3  # the last row occurs twice
 
 
+@pytest.mark.parametrize("known", [1 << 18, 0])
+def test_lm_scores_equal_brute_force(spark, monkeypatch, known):
+    """Each word's softmax written out, over real texts; ``known`` 0 joins all counts."""
+    monkeypatch.setattr(lm_scoring, "KNOWN", known)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(60)
+    docs = docs.unionByName(spark.createDataFrame([(9001, None), (9002, " \n"), (None, "a word, again: a word")], "doc_id long, text string"))
+    model = lm_scoring.train(docs)
+    words = {r.doc_id: [w.strip(".,;:!?\"'()") for w in (r.text or "").lower().split()] for r in docs.collect()}
+    words = {k: [w for w in v if w] for k, v in words.items()}
+    counts: dict = {}
+    for v in words.values():
+        for w in v:
+            counts[w] = counts.get(w, 0) + 1
+    h = {w: lm_scoring.string_hashes(pa.array([w], pa.large_string())) for w in counts}
+    ranked = sorted(counts, key=lambda w: (-counts[w], int(h[w].view(np.int64)[0])))
+    token = {w: i + 1 if i < lm_scoring.TOP else int(lm_scoring.hashed(h[w])[0]) for i, w in enumerate(ranked)}
+    whole = np.bincount([token[w] for w in ranked[lm_scoring.TOP :]], [counts[w] for w in ranked[lm_scoring.TOP :]], lm_scoring.VOCABULARY)
+    p, side = {k: v.astype(np.float64) for k, v in model.net.p.items()}, lm_scoring.SIDE
+
+    def log_softmax(z):
+        return z - np.log(np.exp(z - z.max()).sum()) - z.max()
+
+    def brute(own):
+        ids, total = [0] * side + [token[w] for w in own] + [0] * side, 0.0
+        for k, w in enumerate(own):
+            near = ids[k : k + side] + ids[k + side + 1 : k + 2 * side + 1]
+            hidden = np.append(np.tanh(p["bias"] + sum(p["inputs"][t] * g for t, g in zip(near, p["gates"]))), 1.0)
+            group, member = divmod(token[w], lm_scoring.MEMBERS)
+            total += log_softmax(hidden @ p["classes"])[group] + log_softmax(hidden @ p["members"][group])[member]
+            if token[w] > lm_scoring.TOP:
+                total += np.log(counts[w] / (1 + whole[token[w]]))
+        return len(own), total
+
+    got = lm_scoring.score(docs, model).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        n, total = brute(words[r.doc_id])
+        assert r.n_tokens == n and abs(r.log_likelihood - total) < 1e-4 * (1 + n)
+
+
+def test_lm_does_not_depend_on_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD_DOCS", 20)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    few, many = (lm_scoring.train(docs.repartition(n)).net.flat() for n in (1, 7))
+    assert np.abs(few - many).max() < 1e-6
+
+
+def test_lm_portions_depend_on_the_shard_alone(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "STEP_BYTES", 10)
+    rows = pa.record_batch({"shard": pa.array([0] * 5 + [3] * 4), "text": pa.array(["abcd"] * 3 + [None, "x" * 40] + ["yy"] * 4)})
+    whole = [b.to_pydict() for b in lm_scoring.shard_steps([rows])]
+    assert [b.to_pydict() for b in lm_scoring.shard_steps(rows.slice(i, 1) for i in range(9))] == whole
+    assert sum(len(b["text"]) for b in whole) == 9 and all(len(set(b["shard"])) == 1 for b in whole)
+    assert list(lm_scoring.shard_steps([])) == []
+
+
 def test_lm_trains_on_every_position():
     vocab = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     tokens, (lo, hi), _ = lm_scoring.tokens_of(pa.array(["a b c d e f g", None, "h", "i j"]), vocab)
