@@ -199,8 +199,9 @@ def _longest(most: int, equal) -> int:
     return lo
 
 
-def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
-    """Whether 1 - distance / longer length is at least ``similarity``."""
+def _trimmed(a: str, b: str, similarity: float) -> bool | tuple[str, str, int]:
+    """The answer where bounds settle it; else what lies between a common begin
+    and end, and how many edits are allowed."""
     longer = max(len(a), len(b))
     # round() guards the product against binary fractions
     allowed = int(round((1 - similarity) * longer, 9))
@@ -217,7 +218,18 @@ def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q) <= allowed:
         return True  # word by word
-    # Myers' bit-vector distance, one big integer per column
+    return a, b, allowed
+
+
+def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
+    """Whether 1 - distance / longer length is at least ``similarity``."""
+    found = _trimmed(a, b, similarity)
+    return found if isinstance(found, bool) else _within(*found)
+
+
+def _within(a: str, b: str, allowed: int) -> bool:
+    """Whether at most ``allowed`` edits lead from a to b, by Myers' bit vectors:
+    one big integer per column."""
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | (1 << i)
@@ -242,6 +254,94 @@ def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return distance <= allowed
 
 
+#: Pairs whose distances are taken together, and the longest strings for that.
+TOGETHER, TOGETHER_CHARS = 192, 3000
+
+
+def all_similar(pairs: list[tuple[str, str]], similarity: float = SIMILARITY) -> np.ndarray:
+    """``edit_similar`` of many pairs."""
+    out, left = np.zeros(len(pairs), dtype=bool), []
+    for k, (a, b) in enumerate(pairs):
+        found = _trimmed(a, b, similarity)
+        if isinstance(found, bool):
+            out[k] = found
+        elif max(len(found[0]), len(found[1])) > TOGETHER_CHARS:
+            out[k] = _within(*found)
+        else:
+            left.append((max(len(found[0]), len(found[1])), k, *found))
+    left.sort(key=lambda x: x[0])
+    for at in range(0, len(left), TOGETHER):
+        some = left[at : at + TOGETHER]
+        if len(some) < 4:
+            for _, k, a, b, allowed in some:
+                out[k] = _within(a, b, allowed)
+        else:
+            out[[x[1] for x in some]] = _all_within([x[2] for x in some], [x[3] for x in some], np.array([x[4] for x in some]))
+    return out
+
+
+def _grid(texts: list[str], sizes: np.ndarray, margin: int, fill: int) -> np.ndarray:
+    """Code points as 16 bits, ``margin`` cells of ``fill`` on either side."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    out = np.full((len(texts), int(sizes.max()) + 2 * margin), fill, dtype=np.uint16)
+    column = np.arange(out.shape[1])
+    out[(column >= margin) & (column < margin + sizes[:, None])] = points
+    return out
+
+
+def _all_within(a: list[str], b: list[str], allowed: np.ndarray) -> np.ndarray:
+    """``_within`` of many pairs: the table of distances along its antidiagonals,
+    in a band about the main one, all pairs in step."""
+    n, size_a, size_b = len(a), np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    if any(ord(max(x)) >= 0xFFFE for x in (*a, *b)):  # beyond 16 bits
+        return np.array([_within(*x) for x in zip(a, b, allowed.tolist())])
+    band = int(allowed.max()) | 1  # diagonals -band .. band, odd: those of one parity are band + 1, of the other band
+    margin = band + 2
+    left, right = _grid(a, size_a, margin, 0xFFFF), _grid([x[::-1] for x in b], size_b, margin, 0xFFFE)
+    shift = int(size_b.max()) - size_b  # reversed strings end together
+    if shift.any():
+        right = np.take_along_axis(right, (np.arange(right.shape[1]) - shift[:, None]) % right.shape[1], axis=1)
+    longest_b = int(size_b.max())
+    far = np.int16(16000)
+    # cell d of even: diagonal -band + 1 + 2 d; of odd: -band + 2 d
+    even, odd = np.full((n, band), far), np.full((n, band + 1), far)
+    even[:, (band - 1) // 2] = 0
+    ends, diagonal = size_a + size_b, size_a - size_b
+    out, rows, last = np.zeros(n, dtype=bool), np.arange(n), int(ends.max())
+    near = np.empty((n, band + 1), dtype=np.int16)
+    for step in range(1, last + 1):
+        now, other = (odd, even) if step & 1 else (even, odd)
+        first = -band if step & 1 else -band + 1  # the first diagonal of this parity
+        width = now.shape[1]
+        i, j = (step + first) // 2, (step - first) // 2  # its cell; along the antidiagonal i grows and j falls
+        x = left[:, margin + i - 1 : margin + i - 1 + width]
+        y = right[:, margin + longest_b - j : margin + longest_b - j + width]
+        best = near[: len(rows), :width]
+        if step & 1:  # neighbours: even[d - 1] and even[d]
+            best[:, 1:-1] = np.minimum(other[:, :-1], other[:, 1:])
+            best[:, 0], best[:, -1] = other[:, 0], other[:, -1]
+        else:
+            np.minimum(other[:, :-1], other[:, 1:], out=best)
+        best += np.int16(1)
+        now += x != y
+        np.minimum(now, best, out=now)
+        np.minimum(now, far, out=now)
+        done = ends == step
+        if done.any():
+            k = np.flatnonzero(done)
+            cell = (diagonal[k] - first) // 2
+            inside = (cell >= 0) & (cell < width)
+            out[rows[k[inside]]] = now[k[inside], cell[inside]] <= allowed[k[inside]]
+        if done.any() or step % 64 == 0:
+            stay = ~done & (np.minimum(now.min(axis=1), other.min(axis=1)) <= allowed)
+            if not stay.any():
+                break
+            if stay.sum() <= 0.9 * len(rows):
+                even, odd, left, right = even[stay], odd[stay], left[stay], right[stay]
+                rows, ends, diagonal, allowed = rows[stay], ends[stay], diagonal[stay], allowed[stay]
+    return out
+
+
 def bit_filter(keys: DataFrame, column: str, places=None) -> np.ndarray:
     """A filter of fixed size: a set bit for each key's two positions."""
     places = keys.select(F.explode(F.array(*(places or spots)(column))).alias("p"))
@@ -368,7 +468,15 @@ def _buckets(batches):
 
 
 def _sorted(parts: list[np.ndarray]) -> np.ndarray:
+    """Without what is alone at its place, which is nearly all."""
     rows = np.concatenate(parts)
+    block = np.ascontiguousarray(rows["block"])
+    order = np.argsort(block)
+    equal = np.diff(block[order]) == 0
+    some = np.zeros(len(rows), dtype=bool)
+    some[1:] |= equal
+    some[:-1] |= equal
+    rows = rows[order[some]]
     rows = rows[np.lexsort((rows["key"], rows["block"]))]
     new = np.ones(len(rows), dtype=bool)
     new[1:] = (rows["block"][1:] != rows["block"][:-1]) | (rows["key"][1:] != rows["key"][:-1])
@@ -464,6 +572,8 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
     def candidates(batches):
         begin_task()
         for rows in _buckets(batches):
+            if not len(rows):
+                continue
             starts = np.flatnonzero(np.diff(rows["block"], prepend=rows["block"][0] + np.uint64(1)))
             counts = np.diff(np.append(starts, len(rows)))
             near = np.zeros(len(rows), dtype=bool)
@@ -484,29 +594,45 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
     def verify(batches):
         begin_task()
         for table, _ in _groups(batches, ["block", "key", "sim", "size", "norm", "places"], ["block"]):
-            a, b = [], []
-            sims, keys = table.column("sim").to_numpy().view(np.uint64), table.column("key").to_pylist()
+            a, b, waiting, held = [], [], [], 0
+            sims, keys = table.column("sim").to_numpy().view(np.uint64), table.column("key").to_numpy()
             sizes, blocks = table.column("size").to_numpy(), table.column("block").to_numpy().view(np.uint64)
+            texts, same, group = table.column("norm").to_pylist(), np.arange(len(keys)), np.zeros(len(keys), dtype=np.int64)
+            places = np.frombuffer(b"".join(table.column("places").to_pylist()), "<u4").reshape(-1, TABLES)
+
+            def compare():
+                """Compares waiting pairs until each is one connected group or told apart."""
+                p, q = (np.concatenate(x) for x in zip(*waiting))
+                waiting.clear()
+                while len(p):
+                    apart = same[p] != same[q]
+                    p, q = p[apart], q[apart]
+                    first = np.unique(q, return_index=True)[1]  # each line once a round
+                    for k in first[all_similar([(texts[x], texts[y]) for x, y in zip(p[first].tolist(), q[first].tolist())])].tolist():
+                        x, y = int(p[k]), int(q[k])
+                        if same[x] != same[y]:
+                            part = same[group[x] : group[x] + span[group[x]]]
+                            part[part == same[y]] = same[x]
+                            a.append(keys[x])
+                            b.append(keys[y])
+                    rest = np.ones(len(p), dtype=bool)
+                    rest[first] = False
+                    p, q = p[rest], q[rest]
+
+            span: dict[int, int] = {}
             for lo, hi in _bounds(table, ["block"]):
-                text = table.column("norm").slice(lo, hi - lo).to_pylist()
-                places = np.frombuffer(b"".join(table.column("places").slice(lo, hi - lo).to_pylist()), "<u4").reshape(-1, TABLES)
-                here = int(np.flatnonzero((places == blocks[lo].astype(np.uint32)).all(axis=0))[0])  # the table they meet in
-                root = list(range(hi - lo))
-
-                def find(i, root=root):
-                    while root[i] != i:
-                        root[i] = root[root[i]]
-                        i = root[i]
-                    return i
-
+                group[lo:hi], span[lo] = lo, hi - lo
+                own = places[lo:hi]
+                here = int(np.flatnonzero((own == blocks[lo].astype(np.uint32)).all(axis=0))[0])  # the table they meet in
                 for i, j in _near(sims[lo:hi], sizes[lo:hi]):
-                    fresh = ~(places[i, :here] == places[j, :here]).any(axis=1)  # else compared there
-                    for p, q in zip(i[fresh].tolist(), j[fresh].tolist()):
-                        p_, q_ = find(p), find(q)
-                        if p_ != q_ and edit_similar(text[p], text[q]):
-                            root[q_] = p_
-                            a.append(keys[lo + p])
-                            b.append(keys[lo + q])
+                    fresh = ~(own[i, :here] == own[j, :here]).any(axis=1)  # else compared there
+                    waiting.append((lo + i[fresh], lo + j[fresh]))
+                    held += len(i)
+                    if held > 1 << 16:
+                        compare()
+                        held = 0
+            if waiting:
+                compare()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     links = work.table(meeting.mapInArrow(verify, "a long, b long"), "links")

@@ -556,6 +556,14 @@ def test_edit_similarity():
         b = "".join(c for c in a if rng.random() > 0.1) + "".join(rng.choices("abc", k=rng.randint(0, 2)))
         longer = max(len(a), len(b))
         assert line_dedup.edit_similar(a, b) == (5 * distance(a, b) <= longer)
+    for letters in ("ab ", "abcdefgh ijkl", "aé日\U0001f600 "):
+        pairs = []
+        for _ in range(150):
+            a = "".join(rng.choices(letters, k=rng.randint(1, 60)))
+            pairs.append((a, "".join(c if rng.random() > 0.15 else rng.choice(letters) * rng.randint(0, 2) for c in a)))
+        pairs += [(b, a) for a, b in pairs[:40]] + [("x" * 3500, "x" * 1500 + "y" * 500 + "x" * 1500)]
+        want = [5 * distance(a, b) <= max(len(a), len(b)) for a, b in pairs[:-1]] + [True]
+        assert line_dedup.all_similar(pairs).tolist() == want
 
 
 def test_simhash_counts_long_lines():
