@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.catalog import BLOCK, _blocked, _integers, _sizes_sql, _sql_base, _strings, _strings_sql, _table, _vs, register
+from quillon.catalog import _CHOICE, BLOCK, _blocked, _integers, _sizes_sql, _sql_base, _stats_sql, _strings, _strings_sql, _table, _vs, register
 from quillon.functions import control
 from quillon.functions import sizes as S
 from quillon.operators import blocks, encode, history
@@ -52,7 +52,7 @@ for _codec in ("PLAIN", "XOR_FLOAT"):
         return encode.decode_vectors(encode.encode_vectors(rows, ["block"], ["ord"], "v", "f64", codec), ["block"], "f64")
 
 
-@register("selected_codecs")
+@register("selected_codecs", _stats_sql(_ORDERS) + f"SELECT block, n, {_CHOICE} AS codec FROM stats")
 def selected_codecs(spark, sf_dir):
     """Codecs that the byte encoder picks; tests compare them with the plan's."""
     return encode.encode_vectors(_integers(spark, sf_dir, "orders"), ["block"], ["ord"], "v", "i64").select("block", "n", "codec")
@@ -153,13 +153,13 @@ def string_ref_share(spark, sf_dir):
 
 @register(
     "shape_promotion",
-    """WITH k AS (SELECT user_id, event_id, array_to_string(json_keys(props), ',') AS keys FROM events),
+    """WITH k AS (SELECT user_id, event_id, 'event_type,value,' || array_to_string(json_keys(props), ',') AS keys FROM events),
 s AS (SELECT *, count(*) OVER (PARTITION BY user_id, keys ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS seen FROM k)
-SELECT user_id, event_id, keys, seen, seen >= 2 AND len(string_split(keys, ',')) >= 1 AS shaped FROM s""",
+SELECT user_id, event_id, keys, seen, seen >= 2 AND len(string_split(keys, ',')) >= 3 AS shaped FROM s""",
 )
 def shape_promotion(spark, sf_dir):
-    rows = _table(spark, sf_dir, "events").select("user_id", "event_id", F.array_join(F.json_object_keys("props"), ",").alias("keys"))
-    return history.shapes(rows, ["user_id"], ["event_id"], "keys", 1)
+    rows = _table(spark, sf_dir, "events").select("user_id", "event_id", F.concat(F.lit("event_type,value,"), F.array_join(F.json_object_keys("props"), ",")).alias("keys"))
+    return history.shapes(rows, ["user_id"], ["event_id"], "keys")
 
 
 _EVENT_FIELDS = ["event_type", "value", "props"]
@@ -199,7 +199,12 @@ def varuint_size_hist(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").groupBy(S.varint_size(F.col("l_partkey")).alias("bytes")).agg(F.count("*").alias("n"))
 
 
-@register("fnv_dictionary_hash")
+@register(
+    "fnv_dictionary_hash",
+    """WITH RECURSIVE h AS (SELECT n_nationkey, hex(encode(n_name)) AS x, 0 AS i, CAST(14695981039346656037 AS HUGEINT) AS v FROM nation UNION ALL
+SELECT n_nationkey, x, i + 1, (xor(v, CAST(('0x' || substring(x, 2 * i + 1, 2)) AS HUGEINT)) * 1099511628211) % 18446744073709551616 FROM h WHERE 2 * i < length(x))
+SELECT n_nationkey, CAST(CASE WHEN v >= 9223372036854775808 THEN v - 18446744073709551616 ELSE v END AS BIGINT) AS hash FROM h WHERE 2 * i = length(x)""",
+)
 def fnv_dictionary_hash(spark, sf_dir):
     rows = _table(spark, sf_dir, "nation").select("n_nationkey", F.encode("n_name", "UTF-8").alias("raw"))
     return encode.payload_hash(rows, "raw").select("n_nationkey", "hash")

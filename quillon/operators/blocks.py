@@ -139,3 +139,20 @@ def string_statistics(df: DataFrame, block: Names, order: Names, value: str) ->
         (S.varint_size(n) + F.sum(F.when(kept.isNull(), text).otherwise(
             S.varint_size(kept) + S.varint_size(size - kept) + size - kept))).alias("prefix_bytes"),
     )
+
+
+def unsigned_codec_wide(df: DataFrame, block: Names, order: Names, value: str) -> DataFrame:
+    """Codec of blocks of unsigned values up to 2**64 - 1, held as decimals; for
+    blocks that fit a long use ``integer_codec(..., unsigned=True)``."""
+    half = F.lit("9223372036854775808").cast("decimal(20, 0)")
+    bits = lambda x: F.when(x >= half, F.lit(64)).otherwise(S.bits(F.when(x < half, x).cast("long")))
+    rows = df.select(*block, *order, F.col(value).cast("decimal(20, 0)").alias("_v"))
+    w, v = Window.partitionBy(*block).orderBy(*order), F.col("_v")
+    rows = rows.withColumns({"_prev": F.lag("_v").over(w), "_next": F.lead("_v").over(w)})
+    again = F.coalesce(v == F.col("_prev"), F.lit(False))
+    stats = rows.groupBy(*block).agg(
+        F.count("*").alias("n"), bits(F.max(v)).alias("width"), bits((F.max(v) - F.min(v)).cast("decimal(20, 0)")).alias("range_bits"),
+        (F.sum((again | F.coalesce(v == F.col("_next"), F.lit(False))).cast("int")) / F.count("*")).alias("repeated_ratio"),
+        (F.count("*") / F.sum((~again).cast("int"))).alias("avg_run"),
+    )
+    return stats.withColumn("codec", selection.unsigned_codec_wide(F.col))

@@ -6,8 +6,10 @@ one block at a time; blocks are bounded by the format's limit of 2**20 values.
 
 from __future__ import annotations
 
+import copy
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import control, dynamic, transport, vectors
@@ -91,19 +93,20 @@ def _arrow_struct(schema) -> pa.DataType:
     return to_arrow_type(schema)
 
 
-def _typed(schema: session.Schema, row: dict) -> dynamic.Entries:
+def typed(schema: session.Schema, row: dict) -> dynamic.Entries:
+    """A row for a schema: integers of unsigned fields are marked so."""
     unsigned = {f.name for f in schema.fields if f.family() == "unsigned"}
-    return dynamic.Entries((k, session.Unsigned(v) if k in unsigned and v is not None else v) for k, v in row.items())
+    return dynamic.Entries((k, session.Unsigned(v) if k in unsigned and v is not None else v) for k, v in row.items() if k in {f.name for f in schema.fields})
 
 
 def encode_schema_batches(df: DataFrame, block: Names, order: Names, schema: session.Schema) -> DataFrame:
     names = [f.name for f in schema.fields]
-    return _batches(df, block, order, names, lambda rows: session.Encoder().encode_batch_with_schema(schema, [_typed(schema, r) for r in rows]))
+    return _batches(df, block, order, names, lambda rows: session.Encoder().encode_batch_with_schema(schema, [typed(schema, r) for r in rows]))
 
 
 def encode_bound_streams(df: DataFrame, block: Names, order: Names, schema: session.Schema) -> DataFrame:
     names = [f.name for f in schema.fields]
-    return _batches(df, block, order, names, lambda rows: session.Encoder().encode_bound_stream(schema, [_typed(schema, r) for r in rows]))
+    return _batches(df, block, order, names, lambda rows: session.Encoder().encode_bound_stream(schema, [typed(schema, r) for r in rows]))
 
 
 def decode_with_schema(df: DataFrame, block: Names, schema: session.Schema) -> DataFrame:
@@ -120,7 +123,7 @@ def decode_with_schema(df: DataFrame, block: Names, schema: session.Schema) -> D
     return wide.select(*block, F.posexplode("rows").alias("place", "row")).select(*block, "place", "row.*")
 
 
-def _per_row(df: DataFrame, name: str, kind: str, columns: Names, convert) -> DataFrame:
+def per_row(df: DataFrame, name: str, kind: str, columns: Names, convert) -> DataFrame:
     """Adds ``name``: ``convert`` of the row's ``columns``, batch by batch."""
     from pyspark.sql.types import _parse_datatype_string
 
@@ -136,22 +139,63 @@ def _per_row(df: DataFrame, name: str, kind: str, columns: Names, convert) -> Da
 
 def encode_rows(df: DataFrame, columns: Names, name: str = "frame") -> DataFrame:
     """Each row's columns as one self-describing map."""
-    return _per_row(df, name, "binary", columns, lambda *v: dynamic.encode(dynamic.Entries(zip(columns, v)), signed=True))
+    return per_row(df, name, "binary", columns, lambda *v: dynamic.encode(dynamic.Entries(zip(columns, v)), signed=True))
 
 
 def decode_rows(df: DataFrame, frame: str = "frame", name: str = "json") -> DataFrame:
     """Self-describing frames as tagged JSON (read on with ``from_json`` or variant)."""
-    return _per_row(df, name, "string", [frame], lambda raw: transport.dumps(dynamic.decode(raw)))
+    return per_row(df, name, "string", [frame], lambda raw: transport.dumps(dynamic.decode(raw)))
 
 
 def code_lanes(df: DataFrame, column: str, coder: int, name: str = "coded") -> DataFrame:
-    return _per_row(df, name, "binary", [column], lambda raw: None if raw is None else control.ENCODE[coder](bytes(raw)))
+    return per_row(df, name, "binary", [column], lambda raw: None if raw is None else control.ENCODE[coder](bytes(raw)))
 
 
 def decode_lanes(df: DataFrame, column: str, coder: int, name: str = "lane") -> DataFrame:
-    return _per_row(df, name, "binary", [column], lambda raw: None if raw is None else control.DECODE[coder](bytes(raw)))
+    return per_row(df, name, "binary", [column], lambda raw: None if raw is None else control.DECODE[coder](bytes(raw)))
 
 
 def payload_hash(df: DataFrame, column: str, name: str = "hash") -> DataFrame:
     """FNV-1a of a binary column, as the bits of a long."""
-    return _per_row(df, name, "bigint", [column], lambda raw: None if raw is None else (session.fnv1a(raw) + (1 << 63)) % (1 << 64) - (1 << 63))
+    return per_row(df, name, "bigint", [column], lambda raw: None if raw is None else (session.fnv1a(raw) + (1 << 63)) % (1 << 64) - (1 << 63))
+
+
+def session_frames(df: DataFrame, key: Names, order: Names, columns: Names, send) -> DataFrame:
+    """(key, order, frame): one session per key, ``send(encoder, row)`` for each
+    record in order.  A key's records are one Arrow table in one task."""
+    kinds = _fields(df, [*key, *order])
+
+    def run(table: pa.Table) -> pa.Table:
+        sender, ranked = session.Encoder(), _sorted(table, order)
+        raw = [send(sender, row) for row in ranked.select(columns).to_pylist()]
+        return pa.Table.from_arrays([*(ranked.column(c) for c in [*key, *order]), pa.array(raw, pa.binary())], [*key, *order, "frame"])
+
+    rows = df.select(*dict.fromkeys([*key, *order, *columns]))
+    return rows.select(*key, *order, *(c for c in rows.columns if c not in (*key, *order))).groupBy(*key).applyInArrow(run, f"{kinds}, frame binary")
+
+
+def session_values(df: DataFrame, key: Names, order: Names, fields: str, read, schemas: tuple = ()) -> DataFrame:
+    """(key, order, fields): one reader per key, ``read(decoder, frame)`` gives
+    the fields of each frame in order."""
+    target = df.sparkSession.createDataFrame([], fields).schema
+
+    def run(table: pa.Table) -> pa.Table:
+        receiver = session.Decoder(schemas)
+        ranked = _sorted(table, order) if order else table
+        got = [read(receiver, raw) for raw in ranked.column("frame").to_pylist()]
+        values = [pa.array([g[f.name] for g in got], t.type) for f, t in zip(target, _arrow_struct(target))]
+        return pa.Table.from_arrays([*(ranked.column(c) for c in [*key, *order]), *values], [*key, *order, *target.names])
+
+    kinds = _fields(df, [*key, *order])
+    return df.select(*key, *order, "frame").groupBy(*key).applyInArrow(run, f"{kinds}, {fields}")
+
+
+def message_of(receiver: session.Decoder, raw: bytes) -> tuple:
+    """What a frame says itself, read on a copy of the session."""
+    return session.FrameReader(copy.deepcopy(receiver.state), raw).message()
+
+
+def message_kind(frame: str) -> Column:
+    """The kind of a session frame, from its first byte."""
+    code = F.conv(F.hex(F.substring(frame, 1, 1)), 16, 10).cast("int")
+    return F.element_at(F.array(*map(F.lit, session.KINDS)), code + 1)

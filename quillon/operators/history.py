@@ -65,3 +65,37 @@ def against_snapshot(df: DataFrame, key: Names, order: Names, fields: Names, bac
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(-back, 0)
     differ = [(~F.col(f).eqNullSafe(F.first(f).over(w))).cast("int") for f in fields]
     return df.select(*key, *order, sum(differ[1:], differ[0]).alias("changed"))
+
+
+def template_changes(df: DataFrame, key: Names, batch: str, order: Names, fields: Names) -> DataFrame:
+    """Per batch, each column as a list where it differs from the batch before,
+    ready for ``replay``."""
+    columns = [F.array_sort(F.collect_list(F.struct(*order, F.col(f).alias("v")))).getField("v").alias(f) for f in fields]
+    lists = df.groupBy(*key, batch).agg(*columns)
+    w = Window.partitionBy(*key).orderBy(batch)
+    changed = [F.when(~F.col(f).eqNullSafe(F.lag(f).over(w)), F.struct(F.col(f).alias("v"))).alias(f"set_{f}") for f in fields]
+    return lists.select(*key, batch, *changed)
+
+
+def positional_operations(before: DataFrame, after: DataFrame, key: Names, place: str, value: str) -> DataFrame:
+    """Per key and place the operation that turns the list before into the one
+    after: KEEP, REPLACE, APPEND or TRUNCATE."""
+    a = after.select(*key, place, F.col(value).alias("_new"), F.lit(True).alias("_in_new"))
+    b = before.select(*key, place, F.col(value).alias("_old"), F.lit(True).alias("_in_old"))
+    both = a.join(b, [*key, place], "full")
+    operation = (
+        F.when(F.col("_in_old").isNull(), "APPEND").when(F.col("_in_new").isNull(), "TRUNCATE")
+        .when(F.col("_new").eqNullSafe(F.col("_old")), "KEEP").otherwise("REPLACE")
+    )
+    return both.select(*key, place, F.col("_new").alias(value), operation.alias("operation"))
+
+
+def global_places(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds each row's place in a global order: ranges are numbered apart and
+    shifted by the counts before them, one row a range."""
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    within = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    return within.join(F.broadcast(shifts), "_range").withColumn(name, (F.col("_shift") + F.col("_r")).cast("long")).drop("_range", "_r", "_shift")

@@ -78,3 +78,34 @@ def use_patch(changed: Column, total: Column, patch_size: Column, full_size: Col
     ratio = changed / F.greatest(total, F.lit(1))
     few = (ratio <= 0.10) | ((total <= 8) & (changed * 2 <= total) & (ratio <= 0.34))
     return few & (patch_size < full_size)
+
+
+def unsigned_codec_wide(s) -> Column:
+    """For blocks with unsigned values of 2**63 or more."""
+    n = s("n")
+    return (
+        F.when(n < 4, "DIRECT_BITPACK")
+        .when((s("repeated_ratio") >= 0.5) & (s("avg_run") >= 3.0), "RLE")
+        .when(s("range_bits") <= 60, "FOR_BITPACK")
+        .when((n >= 8) & (s("width") <= 16), "SIMPLE8B")
+        .when(s("width") < 64, "DIRECT_BITPACK")
+        .otherwise("PLAIN")
+    )
+
+
+# Checks of a schema field, as columns.
+
+
+def in_range(field) -> Column:
+    """Whether a value is there and within its field's range."""
+    value = F.col(field.name)
+    return F.coalesce((value >= F.lit(field.low)) & (value <= F.lit(field.high)), F.lit(False))
+
+
+def in_enum(field) -> Column:
+    return F.col(field.name).isin(*field.enum)
+
+
+def or_default(field) -> Column:
+    """The value, or the field's default where it is missing."""
+    return F.coalesce(F.col(field.name), F.lit(field.default))

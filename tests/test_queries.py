@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillon import catalog, catalog_bytes  # noqa: F401
+from quillon import catalog, catalog_bytes, catalog_relational, catalog_session  # noqa: F401
 from tests.oracle import DATA, rows, tables
 
 
