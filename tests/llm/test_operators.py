@@ -756,12 +756,34 @@ def test_search_with_large_scores_keeps_k_beside_the_own_row():
     # one block, more than FEW rows, scores beyond 2**52 and bounds loose to the end
     x, ids = (rng.standard_normal((300, 64)) * 2e7).astype(np.int64), np.arange(300)
     own = np.array([299, 150, 0])
-    query, column, score = topk_search.search_block(own, x[own], ids, x, 5)
+    query, column, score, _ = topk_search.search_block(own, x[own], ids, x, 5)
     for i, q in enumerate(own):
         want = sorted((-int(x[q] @ x[c]), c) for c in range(300) if c != q)[:5]
         assert [(-int(s), int(c)) for c, s in zip(column[query == i], score[query == i])] == want
 
 
+def test_reading_stops_where_outsiders_cannot_qualify():
+    rng = np.random.default_rng(5)
+    x, ids = np.floor(rng.standard_normal((4000, 64)) * 32).astype(np.int64), np.arange(4000)
+    own = np.arange(40)
+    scores = x[own] @ x.T
+    scores[own, own] = -(1 << 60)
+    floors = np.sort(scores[:, 2000:], axis=1)[:, -5]  # reached in another block
+    query, column, score, read = topk_search.search_block(own, x[own], ids[:2000], x[:2000], 5, floors)
+    assert (read < 1).mean() > 0.9
+    for i in own:
+        want = sorted((-int(s), int(c)) for c, s in enumerate(scores[i, :2000]) if s >= floors[i])[:5]
+        got = [(-int(s), int(c)) for c, s in zip(column[query == i], score[query == i])]
+        assert [g for g in got if -g[0] >= floors[i]] == want
+
+
+def test_vectors_too_long_for_long_scores_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1e8, 1.0]), (1, [2.0, 3.0])], "vec_id long, embedding array<double>")
+    assert topk_search.top_k(df.where("vec_id = 1"), F.col("vec_id") % 50 == 0).collect() == []
+    with pytest.raises(Exception, match="too long"):
+        topk_search.top_k(df, F.col("vec_id") % 50 == 0).collect()
+
+
 def test_top_k_sql_and_few(spark):
     got = topk_search.op10_topk_search(spark, DATA).toPandas()
     assert rows(got) == rows(tables().execute(topk_search.TOPK_SQL).df())
