@@ -3,8 +3,11 @@ salted ranks, and connected components over link tables."""
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +26,13 @@ def tokenizer_file(name: str) -> str:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a temporary
-    folder stands in only where it is unset, as in tests on one machine."""
+    folder stands in only where it is unset and Spark runs on one machine."""
     global _own_dir
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if at:
         return at.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="quillon-")
     return f"file://{_own_dir}"
@@ -46,6 +51,8 @@ class Workspace:
         self.spark = spark
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH))
         self.at = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+        for made in _SCRATCH:
+            made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.at}/{name}"
@@ -57,12 +64,33 @@ class Workspace:
         read = self.spark.read
         return (read.schema(df.schema) if not by else read).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Deletes a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more."""
+        for name in names:
+            self._delete(self.path(name))
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_SCRATCH: list[list[Workspace]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes the workspaces made within; what was read from them must be
+    written elsewhere by then."""
+    made: list[Workspace] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        for work in made:
+            work._delete(work.at)
+
+
 def own_names(df: DataFrame, *names: str) -> list[str]:
     """Names beside the columns of ``df``, in whatever case those are written."""
     taken, found = {c.lower() for c in df.columns}, []
@@ -139,7 +167,7 @@ def components(links: DataFrame, work: Workspace, tag: str = "cc") -> DataFrame:
         k += 1
         nxt = work.table(star(star(now, True), False), f"{tag}{k}")
         mark = print_of(nxt)
-        work.drop(f"{tag}{k - 1}")
+        work.drop(f"{tag}{k - 1}")  # the round before
         now = nxt
         if mark == seen:
             break

@@ -19,7 +19,10 @@ all documents; any order is right, a better one only makes lists shorter.
 
 Nulls and texts without words have an empty set, link with nothing and are
 their own component; a null doc_id stays null.  Repeated rows are equal sets.
-Empty tables give empty results.
+Ties of a component are decided by the smallest doc_id, then row key.  Texts of
+any length are taken whole.  Columns of any name are carried along by
+``keep_one``; ``join`` reads doc_id and text only.  Empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.arrow import begin_task, text_slices
-from quillon.llm.common import Workspace, components, documents
+from quillon.llm.common import Workspace, components, documents, own_names
 from quillon.llm.line_dedup import _bounds, _groups, bit_filter, hits, mix, spots, string_hashes
 
 WIDTH = 5
@@ -204,6 +207,7 @@ MET = "crowded boolean, a long, b long"
 
 def _meet(batches, percent: int):
     """Pairs (a, b) of small groups; (key, set) of the members of crowded ones."""
+    begin_task()
     for table, _ in _groups(batches, ["key", "set_key", "size", "place"], ["key"]):
         key, node, size, place = (table.column(c).to_numpy() for c in ("key", "set_key", "size", "place"))
         starts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
@@ -320,6 +324,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
 
     gathered = crowds.select("key", "set_key").join(items, "set_key").repartition("key").sortWithinPartitions("key", "set_key")
     links = work.table(links.unionByName(gathered.mapInArrow(crowd, "a long, b long")), "links")
+    work.drop("classes", "met", "pairs", "wanted", "items")
     groups = components(links, work)
     placed = sets.select("doc_id", "rk", "size", "set_key").join(groups.withColumnRenamed("node", "set_key"), "set_key", "left")
     placed = placed.select("doc_id", "rk", F.col("size").alias("n_shingles"), "set_key", F.coalesce("component", "set_key").alias("component"))
@@ -338,11 +343,12 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     found = work.table(join(docs.select("doc_id", "text"), width, percent), "found")
     place = F.struct(F.col("doc_id").isNotNull().alias("set"), "doc_id", "rk")
     stay = found.where("n_shingles > 0").groupBy("component").agg(F.min(place).alias("stay")).select(F.col("stay.rk").alias("rk"))
-    keyed = docs.withColumn("_rk", F.expr(ROW_KEY))
+    (rk,) = own_names(docs, "rk")
+    keyed = docs.withColumn(rk, F.expr(ROW_KEY))
     empty = found.where("n_shingles = 0").select("rk").distinct()
-    single = keyed.join(stay.select(F.col("rk").alias("_rk")), "_rk", "left_semi").dropDuplicates(["_rk"])
-    without = keyed.join(empty.select(F.col("rk").alias("_rk")), "_rk", "left_semi")
-    return single.unionByName(without).drop("_rk")
+    single = keyed.join(stay.select(F.col("rk").alias(rk)), rk, "left_semi").dropDuplicates([rk])
+    without = keyed.join(empty.select(F.col("rk").alias(rk)), rk, "left_semi")
+    return single.unionByName(without).drop(rk)
 
 
 def op3_jaccard_join(spark, sf_dir):

@@ -12,7 +12,9 @@ all labelled rows.  Prediction sees the text alone.
 
 Nulls: a text that is null or holds no letter is ``und`` with score 0; rows
 with null labels are never learnt from.  Without any labelled text every row
-is ``und``.  Repeated rows each get their prediction.
+is ``und``.  Repeated rows each get their prediction; of labels that tie the
+first in order is taken.  Texts of any length are read whole.  Columns of any
+name are carried along; the new ones replace columns of their names.
 """
 
 from __future__ import annotations

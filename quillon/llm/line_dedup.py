@@ -636,6 +636,7 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     links = work.table(meeting.mapInArrow(verify, "a long, b long"), "links")
+    work.drop("near")
     groups = components(links, work)
     # Only lines that repeat or link can lose an occurrence.
     grouped = lines.join(groups.withColumnRenamed("node", "key"), "key", "left").where("n > 1 or component is not null")
@@ -644,6 +645,7 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
     fate = grouped.join(stay, "component").select("key", "stay")
     gone = found.join(fate, "key").where("not (rk = stay.rk and line = stay.line)")
     drops = work.table(gone.groupBy(F.col("rk").alias("rk")).agg(F.collect_set("line").alias("lines")), "drops")
+    work.drop("lines", "distinct", "links")
 
     docs = docs.drop(count_name)
     rk, inside, lost = own_names(docs, "rk", "pass", "lost")

@@ -7,7 +7,9 @@ and no state: the 64-bit congruential steps of the published algorithm
 arithmetic does not wrap.
 
 Nulls: a null key counts as key 0; a null text has no bytes.  Empty tables
-give empty results.  Repeated rows each get their own slot.
+give empty results.  Repeated rows each get their own slot, ties in any order.
+Texts of any length count whole.  Only key and text are read; other columns take
+no part.
 """
 
 from __future__ import annotations

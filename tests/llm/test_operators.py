@@ -378,10 +378,79 @@ def test_bands_reject_gibberish(spark, empty):
     assert whole.select(docs.columns).columns == docs.columns and whole.count() == docs.count()
 
 
+def brute_kneser_ney(grams, k, order):
+    """log2 probability of each n-gram's last symbol, from the published formulas."""
+    counts = {order: {}}
+    for g in grams:
+        counts[order][g] = counts[order].get(g, 0) + 1
+    for n in range(order - 1, 0, -1):  # distinct symbols before
+        counts[n] = {}
+        for g in counts[n + 1]:
+            counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+    discount, total, kinds = {}, {}, {}
+    for n, own in counts.items():
+        c = [sum(v == i for v in own.values()) for i in range(1, 5)]
+        if c[0]:
+            y = c[0] / (c[0] + 2 * c[1])
+            d = [i - (i + 1) * y * c[i] / c[i - 1] if c[i - 1] else i / 2 for i in (1, 2, 3)]
+            discount[n] = [min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1)]
+        else:
+            discount[n] = [0.5] * 3
+        for g, v in own.items():
+            total[n, g[:-1]] = total.get((n, g[:-1]), 0) + v
+            kinds.setdefault((n, g[:-1]), [0, 0, 0])[min(v, 3) - 1] += 1
+
+    def p(g):
+        n = len(g)
+        if n == 0:
+            return 1 / k
+        if (n, g[:-1]) not in total:
+            return p(g[1:])
+        gamma = sum(a * b for a, b in zip(discount[n], kinds[n, g[:-1]])) / total[n, g[:-1]]
+        v = counts[n].get(g, 0)
+        own = (v - discount[n][min(v, 3) - 1]) / total[n, g[:-1]] if v else 0.0
+        return own + gamma * p(g[1:])
+
+    return {g: float(np.log2(p(g))) for g in counts[order]}
+
+
+def brute_kept(rows):
+    """doc_id: kept, over (doc_id, lang, text), and which lie too near an edge to tell."""
+    order, classes, by_lang, failed = quality_rules.ORDER, quality_rules.CLASSES, {}, {}
+    for doc, lang, text in rows:
+        raw = [0] * (order - 1) + [int(classes[b]) for b in (text or "").lower().encode()]
+        by_lang.setdefault(lang or "und", {})[doc] = [tuple(raw[i : i + order]) for i in range(len(raw) - order + 1)]
+        c = base_counts(text or "")
+        failed[doc] = c[0] < 20 or 100 * c[-1] > 30 * c[0]
+    kept, near = {}, set()
+    for docs in by_lang.values():
+        log_p = brute_kneser_ney([g for own in docs.values() for g in own], quality_rules.K, order)
+        score = {doc: -sum(log_p[g] for g in own) / max(len(own), 1) for doc, own in docs.items()}
+        passed = sorted(v for doc, v in score.items() if not failed[doc])
+        q = [passed[max(-(-len(passed) * k // 4) - 1, 0)] for k in (1, 2, 3)] if passed else [0.0] * 3
+        for doc, v in score.items():
+            slack = quality_rules.SYMBOL_DEVIATION / max(len(docs[doc]), 1) ** 0.5
+            width = (((q[2] - q[0]) / 1.349) ** 2 + slack**2) ** 0.5
+            edges = -quality_rules.LOWER * width, quality_rules.UPPER * width
+            kept[doc] = not failed[doc] and edges[0] <= v - q[1] <= edges[1]
+            if not failed[doc] and min(abs(v - q[1] - e) for e in edges) < 1e-4:
+                near.add(doc)
+    return kept, near
+
+
+def test_kept_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want, near = brute_kept([(r.doc_id, r.lang, r.text) for r in docs.collect()])
+    got = {r.doc_id: r.kept for r in quality_rules.op5_ngram_quality(spark, DATA).collect()}
+    assert got.keys() == want.keys() and len(near) < 3
+    assert {d for d in got if got[d] != want[d]} <= near
+    assert 0 < sum(not v for v in got.values()) < len(got) / 2
+
+
 def test_bands_reject_four_spreads_on_either_side(spark):
     rows = [(x, 5.0, 0.1, 10_000) for x in (4.6, 4.8, 5.0, 5.2, 5.4)]
     df = spark.createDataFrame(rows, "p double, _middle double, _spread double, _n_bytes long")
-    assert [r.k for r in df.select("p", quality_rules.within_band(F.col("p")).alias("k")).orderBy("p").collect()] == [False, True, True, True, False]
+    assert [r.k for r in df.select("p", quality_rules.within_band(*map(F.col, ("p", "_n_bytes", "_middle", "_spread"))).alias("k")).orderBy("p").collect()] == [False, True, True, True, False]
 
 
 # ---------------------------------------------------------------- pieces
@@ -820,19 +889,94 @@ def test_language_stage_rejects_unsure_texts(spark, monkeypatch):
     assert {r.doc_id: r.lang for r in kept} == {2: "bb", 4: "aa"}
 
 
+def brute_languages(net, rows):
+    """doc_id: (label, score) by windows cut one by one."""
+    out = {}
+    for doc, text in rows:
+        raw = (text or "").lower().encode()
+        log_p, size = np.zeros(len(net.labels)), 0
+        mass = np.zeros(len(net.labels))
+        for at in range(0, len(raw), language_id.LENGTH):
+            part = raw[at : at + language_id.LENGTH]
+            one = np.zeros((1, language_id.LENGTH), np.uint8)
+            one[0, : len(part)] = list(part)
+            p = net.log_probabilities(one)[0].astype(np.float64)
+            log_p, mass, size = log_p + p * len(part), mass + np.exp(p) * len(part), size + len(part)
+        lettered = any(c.isalpha() for c in text or "")
+        best = int(log_p.argmax())
+        out[doc] = (net.labels[best], mass[best] / size) if lettered else ("und", 0.0)
+    return out
+
+
 def test_pipeline(spark, tmp_path):
+    """Every stage's decisions against brute force on that stage's own input."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    docs, stages = spark.read.parquet(f"{DATA}/documents.parquet"), dict(corpus_pipeline.STAGES[:-1])
+    inputs = {}
+    for name, stage in stages.items():
+        inputs[name] = docs.collect()
         kept = stage(spark, docs, DATA)
         assert kept.columns == docs.columns, name
         path = os.path.join(tmp_path, name)
         kept.write.parquet(path)
-        kept = spark.read.parquet(path)
-        assert 0 < kept.count() <= docs.count()
-        assert kept.select("doc_id").subtract(docs.select("doc_id")).count() == 0
-        docs = kept
+        docs = spark.read.parquet(path)
+    inputs["packing"] = docs.collect()
+    after = dict(zip(inputs, [{r.doc_id: r for r in v} for v in list(inputs.values())[1:]]))
+
+    rows = inputs["language_id"]
+    learnt = spark.createDataFrame(rows, SCHEMA).where(~language_id.held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    net = language_id.train(learnt)
+    told = brute_languages(net, [(r.doc_id, r.text) for r in rows])
+    least = corpus_pipeline.least_score(len(net.labels))
+    assert set(after["language_id"]) == {d for d, (lang, score) in told.items() if lang != "und" and score >= least}
+
+    want, near = brute_kept([(r.doc_id, r.lang, r.text) for r in inputs["quality_rules"]])
+    assert {d for d in want if want[d]} ^ set(after["quality_rules"]) <= near
+
+    assert set(after["line_dedup"]) == {r.doc_id for r in inputs["line_dedup"]}
+    for r in inputs["line_dedup"]:
+        left = iter((r.text or "").split("\n"))
+        now = after["line_dedup"][r.doc_id]
+        assert now.n_chars == len(now.text) and (now.text == "" or all(line in left for line in now.text.split("\n")))
+
+    rows = sorted(inputs["jaccard_join"], key=lambda r: r.doc_id)
+    groups = brute_components([shingles(r.text, 5) for r in rows], 80)
+    first, stay = set(), set()
+    for r, group in zip(rows, groups):
+        if not shingles(r.text, 5) or group not in first:
+            stay.add(r.doc_id)
+        first.add(group)
+    assert set(after["jaccard_join"]) == stay
+
     got = corpus_pipeline.run(spark, DATA).collect()
     check_packing(docs, got, packing.MAX_TOKENS)
-    assert {r.doc_id for r in got} == {r.doc_id for r in docs.select("doc_id").collect()}
+    assert {r.doc_id for r in got} == stay
+
+
+def test_pipeline_stages_define_odd_rows(spark, empty):
+    """Nulls, empty and very long texts, repeated rows and clashing names, stage by stage."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    words = [passage(i, 1) for i in range(400)]
+    texts = [". ".join(" ".join(rng.choices(words, k=12)) for _ in range(8)) for _ in range(40)]
+    texts += [None, "", "12 34", "\n".join(" ".join(rng.choices(words, k=15)) for _ in range(3000))]
+    names = ["_rk", "_pass", "_lost", "_lang", "_n_bytes", "_middle", "_q_kept", "_lang_pred", "_score", "_n_dropped", "kept", "component", "key", "rk"]
+    docs = make(spark, texts, extra=False).withColumns({c: F.lit("own") for c in names})
+    for name, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, empty.withColumns({c: F.lit("own") for c in names}), DATA)
+        assert nothing.collect() == [], name
+        kept = stage(spark, docs, DATA)
+        if name == "packing":
+            assert "sequence_id" in kept.columns and kept.count() > 40
+            continue
+        assert kept.columns == docs.columns, name
+        got = kept.collect()
+        assert all(r[c] == "own" for r in got for c in names), name
+        ids = [r.doc_id for r in got]
+        if name in ("language_id", "quality_rules"):
+            assert not {40, 41, 42} & set(ids), name  # without a word or letter
+        else:
+            assert {40, 41, 42} <= set(ids) and None in ids, name
+        assert 43 in ids and ids.count(43) == (1 if name == "jaccard_join" else 2), name  # the last row comes twice
