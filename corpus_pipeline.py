@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; its decisions take effect.  All stages but the last return the columns
 of ``documents``; the last returns the packed pieces.
+
+Nulls: a null text has no language and goes at the first stage; a null doc_id,
+source or label is carried along.  Empty tables give empty results.  Repeated
+rows are documents of their own until the near copies, where one stays, as of
+all that tie.  Texts of any length are worked on whole.  Extra columns are
+carried along under whatever names, up to packing, which returns pieces alone.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import jaccard_join, language_id, line_dedup, packing, quality_rules
-from quillon.llm.common import Workspace, documents, tokenizer_file
+from quillon.llm.common import Workspace, documents, own_names, scratch, tokenizer_file
 
 #: Predictions less sure than this count as no language: 0 is what chance among
 #: the labels scores, 1 a certain one.  With four labels the score is 0.8.
@@ -28,19 +34,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Rejects documents whose language is not recognised with confidence; a missing label takes
     the predicted one."""
     net = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    found = language_id.predict(docs, net, ("_lang_pred", "_score"))
-    found = found.where((F.col("_lang_pred") != language_id.UNDETERMINED) & (F.col("_score") >= least_score(len(net.labels) if net else 0)))
-    return found.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(docs.columns)
+    pred, score = own_names(docs, "lang_pred", "score")
+    found = language_id.predict(docs, net, (pred, score))
+    found = found.where((F.col(pred) != language_id.UNDETERMINED) & (F.col(score) >= least_score(len(net.labels) if net else 0)))
+    return found.withColumn("lang", F.coalesce("lang", pred)).select(docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail the base rules or leave their language's band."""
-    return quality_rules.judge(docs, docs.columns, "_q_").where("_q_kept").select(docs.columns)
+    prefix = "_q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    return quality_rules.judge(docs, docs.columns, prefix).where(f"{prefix}kept").select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines; ``n_chars`` follows the text."""
-    clean = line_dedup.dedup_lines(docs, "_n_dropped")
+    (dropped,) = own_names(docs, "n_dropped")
+    clean = line_dedup.dedup_lines(docs, dropped)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
@@ -68,6 +79,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, work = documents(spark, sf_dir), Workspace(spark, "pipeline")
+    before = None
     for name, stage in STAGES[:-1]:  # each stage's rows are written and read again
-        docs = work.table(stage(spark, docs, sf_dir), name)
+        with scratch():
+            docs = work.table(stage(spark, docs, sf_dir), name)
+        if before:
+            work.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
