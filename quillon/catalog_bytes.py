@@ -323,7 +323,7 @@ def _events_stream(spark, sf_dir):
 def stream_patch_roundtrip(spark, sf_dir):
     fields = ["event_type", "value"]
     _, frames = run.drain(sessions.encode_stream(_events_stream(spark, sf_dir), "user_id", "event_id", fields))
-    source = run.stream_of(spark, frames).select("user_id", "event_id", "frame")
+    source = run.stream_of(spark, frames).select("user_id", "event_id", "part", "frame")
     got, _ = run.drain(sessions.decode_stream(source, "user_id", "event_id"))
     items = F.from_json("json", "t string, v array<array<string>>")["v"]
     of = lambda i, kind: F.get_json_object(items[i][1], "$.v").cast(kind)

@@ -35,8 +35,54 @@ def test_stream_round_trip(spark, tmp_path):
     sent = _run(spark, sessions.encode_stream(stream, "user", "seq", ["name", "x", "tag"]), "sent")
     assert len(sent) == len(rows) and all(r["error"] is None for r in sent)
     assert any(bytes(r["frame"])[0] == 10 for r in sent)  # differences were used
-    spark.createDataFrame(sent, "user long, seq long, frame binary, error string").drop("error").write.parquet(str(tmp_path / "frames"))
-    stream = spark.readStream.schema("user long, seq long, frame binary").parquet(str(tmp_path / "frames"))
+    spark.createDataFrame(sent, "user long, seq long, part int, frame binary, error string").drop("error").write.parquet(str(tmp_path / "frames"))
+    stream = spark.readStream.schema("user long, seq long, part int, frame binary").parquet(str(tmp_path / "frames"))
     got = _run(spark, sessions.decode_stream(stream, "user", "seq"), "got")
     back = {(r["user"], r["seq"]): {k: v["v"] for k, v in json.loads(r["json"])["v"]} for r in got}
     assert back == {(u, s): {"name": n, "x": x, "tag": t} for u, s, n, x, t in rows}
+
+
+def test_gaps_and_steps_back_reset_the_session(spark, tmp_path):
+    """Two micro-batches: the second begins with a gap for one key, a step back for the other."""
+    schema = "user long, seq long, name string"
+    for k, rows in enumerate(([(0, 1), (0, 2), (1, 1), (1, 2)], [(0, 5), (0, 6), (1, 2), (1, 3)])):
+        spark.createDataFrame([(u, s, "name") for u, s in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        query = sessions.encode_stream(stream, "user", "seq", ["name"], gapless=True).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        query.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    sent = spark.read.parquet(str(tmp_path / "out")).collect()
+    told = {(r.user, r.seq): r.error for r in sent if r.part == 0}
+    assert told == {(0, 5): "record 5 came where 3 was due", (1, 2): "record 2 came where 3 was due"}
+    assert {bytes(r.frame)[0] for r in sent if r.part == 0} == {8}
+    frames = spark.createDataFrame([r for r in sent if r.user == 0], "user long, seq long, part int, frame binary, error string")
+    frames.write.parquet(str(tmp_path / "frames"))
+    stream = spark.readStream.schema(frames.schema).parquet(str(tmp_path / "frames"))
+    got = _run(spark, sessions.decode_stream(stream, "user", "seq", gapless=True), "after_gap")
+    assert sorted(r["seq"] for r in got) == [1, 2, 5, 6] and all(r["error"] is None for r in got)
+    lost = frames.where("part = 1 and seq <> 2").drop("part")
+    lost.write.parquet(str(tmp_path / "lost"))
+    stream = spark.readStream.schema(lost.schema).parquet(str(tmp_path / "lost"))
+    got = _run(spark, sessions.decode_stream(stream, "user", "seq", gapless=True), "lost")
+    assert [r["error"] for r in got if r["seq"] == 5][0] == "record 5 came where 2 was due"
+
+
+def test_streams_with_a_schema(spark, tmp_path):
+    schema = Schema(3, "named", (Field(1, "name", "string"), Field(2, "x", "u64", False)))
+    rows = spark.createDataFrame([(1, s, f"n{s}", None if s % 2 else s) for s in range(6)], "user long, seq long, name string, x long")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    sent = _run(spark, sessions.encode_stream(stream, "user", "seq", ["name"], mode=schema), "by_schema")
+    assert len(sent) == 6 and {bytes(r["frame"])[0] for r in sent} == {4}
+
+
+def test_options_round_trip():
+    import pytest
+
+    from quillon import SessionOptions
+
+    options = SessionOptions(3, False, True, False, "statelessRetry")
+    assert SessionOptions.from_json(options.to_json()) == options
+    assert SessionOptions.from_json("{}") == SessionOptions() and options.encoder().state.snapshots_kept == 3
+    for wrong in ({"snapshots": -1}, {"snapshots": 1.5}, {"unknown": "later"}):
+        with pytest.raises(ValueError):
+            SessionOptions(**wrong)
