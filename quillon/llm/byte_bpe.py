@@ -18,23 +18,22 @@ from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from quillon.llm.arrow import begin_task
+from quillon.llm.arrow import begin_task, string_bytes
+from quillon.llm.line_dedup import span_checks, span_hashes
 
-#: Entries per generation of a worker's caches (about 200 bytes each): when the
-#: young generation is full the old one is dropped, so frequent words stay.
+#: Entries of a worker's caches (about 50 bytes a piece, 150 a stem): when they
+#: are full, pieces that were not met since the last time go.
 CACHE_ENTRIES = 500_000
 
-_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-#: Letters, then marks without the apostrophe: two pre-tokens at most.
-_PLAIN = re.compile(rf"([{_LATIN}]*)([!-&(-/:-@\[-`{{-~]*)")
-
-_MARKS = frozenset(",.;:!?")
+#: A line break at most, letters, then marks without the apostrophe: two
+#: pre-tokens at most.
+_PLAIN = r"^\n?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]*[!-&(-/:-@\[-`{-~]*$"
+_LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -61,9 +60,7 @@ class Merges:
         order = np.argsort(keys[rank])
         self.keys, self.rank = keys[rank][order], rank[order].astype(np.int32)
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
-        self.first = np.full(max(map(ord, symbols.values())) + 1, -1, dtype=np.int32)
-        for c in symbols.values():
-            self.first[ord(c)] = vocab[c]
+        self.first = np.array([vocab[symbols[b]] for b in range(256)], dtype=np.int32)
 
     @classmethod
     def of(cls, tok, symbols: dict[int, str]) -> "Merges | None":
@@ -80,45 +77,110 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.rank[at], self.NONE)
 
-    def __call__(self, words: list[str]) -> list[bytes | None]:
-        """Little-endian ids of each word; None for those that are too long."""
-        out: list[bytes | None] = [None] * len(words)
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        lo = 0
+    def __call__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of spans of bytes, with a space before where ``spaced``: all ids
+        end to end, how many of each, and which spans are too long."""
+        whole = sizes + spaced
+        counts, found, lo = np.zeros(len(starts), np.int64), [], 0
         for width in self.WIDTHS:
-            some = np.flatnonzero((sizes > lo) & (sizes <= width))
+            some = np.flatnonzero((whole > lo) & (whole <= width))
             lo = width
             if len(some):
-                points = np.frombuffer("".join(words[i] for i in some.tolist()).encode("utf-32-le"), dtype="<u4")
-                grid = np.full((len(some), width), -1, dtype=np.int32)
-                grid[np.arange(width) < sizes[some, None]] = self.first[points]
-                ids, counts = self._merge(grid)
-                raw, ends = ids[ids >= 0].astype("<u4").tobytes(), np.cumsum(counts) * 4
-                for i, a, z in zip(some.tolist(), (ends - counts * 4).tolist(), ends.tolist()):
-                    out[i] = raw[a:z]
-        return out
-
-    def _merge(self, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                column = np.arange(width)
+                at = column - spaced[some, None]
+                inside = (at >= 0) & (at < sizes[some, None])
+                grid = np.full(inside.shape, -1, dtype=np.int32)
+                grid[inside] = self.first[data[(starts[some, None] + at)[inside]]]
+                grid[spaced[some], 0] = self.first[32]
+                done = self._merge(grid)
+                counts[some] = (done >= 0).sum(axis=1)
+                found.append((some, done[done >= 0]))
+        first = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), "<u4")
+        for some, ids in found:
+            out[spread(first[some], counts[some])] = ids
+        return out, counts, whole > lo
+
+    def _merge(self, grid: np.ndarray) -> np.ndarray:
         n, width = grid.shape
-        ranks = self._ranks(grid[:, :-1].ravel(), grid[:, 1:].ravel()).reshape(n, width - 1)
-        done, rows, column = grid.copy(), np.arange(n), np.arange(width)
+        ranks = np.full((n, width), self.NONE)  # of the pair that begins at each symbol; the last begins none
+        ranks[:, :-1] = self._ranks(grid[:, :-1].ravel(), grid[:, 1:].ravel()).reshape(n, width - 1)
+        done, rows, column = grid.copy(), np.arange(n), np.arange(width - 1, dtype=np.int16)
         while len(rows):
             at = ranks.argmin(axis=1)
-            best = ranks[np.arange(len(rows)), at]
+            k = np.arange(len(rows))
+            best = ranks[k, at]
             left = best != self.NONE
             if not left.all():
                 done[rows[~left]] = grid[~left]
                 rows, grid, ranks, at, best = rows[left], grid[left], ranks[left], at[left], best[left]
-                if not len(rows):
-                    break
-            k = np.arange(len(rows))
+                k = np.arange(len(rows))
+            if not len(rows):
+                break
             grid[k, at] = self.made[best]
-            grid = np.take_along_axis(np.pad(grid, ((0, 0), (0, 1)), constant_values=-1), column + (column > at[:, None]), axis=1)
-            ranks = np.take_along_axis(np.pad(ranks, ((0, 0), (0, 1)), constant_values=self.NONE), column[:-1] + (column[:-1] >= at[:, None]), axis=1)
-            before, after = np.flatnonzero(at > 0), np.flatnonzero(at < width - 1)
-            ranks[before, at[before] - 1] = self._ranks(grid[before, at[before] - 1], grid[before, at[before]])
-            ranks[after, at[after]] = self._ranks(grid[after, at[after]], grid[after, at[after] + 1])
-        return done, (done >= 0).sum(axis=1)
+            later = column >= at[:, None].astype(np.int16)
+            np.copyto(ranks[:, :-1], ranks[:, 1:].copy(), where=later)
+            later[k, at] = False
+            np.copyto(grid[:, :-1], grid[:, 1:].copy(), where=later & (column > at[:, None]))
+            grid[:, -1], ranks[:, -1] = -1, self.NONE
+            for shift in (-1, 0):
+                some = np.flatnonzero((at + shift >= 0) & (at + shift < width - 1))
+                j = at[some] + shift
+                ranks[some, j] = self._ranks(grid[some, j], grid[some, j + 1])
+        return done
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of spans, end to end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class PieceCache:
+    """Ids of pieces in arrays: sorted hashes, a check of each (its first eight
+    bytes and its size), and where its ids lie in one store."""
+
+    def __init__(self, entries: int):
+        self.entries = entries
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.sizes, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.store, self.end = np.zeros(1 << 16, "<u4"), 0
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and size of each piece's ids, and which are there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        there = (self.keys[at] == keys) & (self.checks[at] == checks)
+        self.met[at[there]] = True
+        return self.starts[at], self.sizes[at], there
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Stores new pieces, their ids end to end; their starts."""
+        starts = self.end + np.cumsum(sizes) - sizes
+        if self.end + len(ids) > len(self.store):
+            self.store = np.concatenate([self.store[: self.end], np.zeros(max(len(ids), self.end), "<u4")])
+        self.store[self.end : self.end + len(ids)] = ids
+        self.end += len(ids)
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        for name, new in (("keys", keys), ("checks", checks), ("starts", starts), ("sizes", sizes), ("met", np.ones(len(keys), bool))):
+            setattr(self, name, np.insert(getattr(self, name), at, new[order]))
+        return starts
+
+    def trim(self) -> None:
+        """Before a slice: drops what was not met since the last time, if full."""
+        if len(self.keys) <= self.entries:
+            return
+        if self.met.sum() > self.entries:
+            return self._clear()
+        sizes = self.sizes[self.met]
+        ids, ends = self.store[spread(self.starts[self.met], sizes)], np.cumsum(sizes)
+        self.keys, self.checks, self.starts, self.sizes = self.keys[self.met], self.checks[self.met], ends - sizes, sizes
+        self.store, self.end, self.met = ids, len(ids), np.zeros(len(sizes), bool)
 
 
 class ByteBpe:
@@ -138,56 +200,72 @@ class ByteBpe:
         self.symbols = _byte_symbols()
         self.merges = Merges.of(self.tok, self.symbols)
         self.cache_entries = cache_entries
-        self.newline = self._whole("\n")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.newline = np.frombuffer(self._whole("\n"), "<u4")
+        self.cache, self.stems = PieceCache(cache_entries), PieceCache(cache_entries)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _split(self, key: str) -> tuple[str, ...] | None:
-        """The pre-tokens of a piece (a line break and a word, or a space and a
-        word), the line break left out; None where only the library knows."""
-        broken = key[:1] == "\n"
-        word = key[1:] if broken else key
-        plain = word.isascii()
-        if plain and word.isalpha():
-            letters, marks = word, ""
-        elif plain and word[-1:] in _MARKS and word[:-1].isalpha():
-            letters, marks = word[:-1], word[-1]
-        else:
-            m = _PLAIN.fullmatch(word)
-            if not m:
-                return None
-            letters, marks = m.groups()
-            if not letters.isascii():
-                letters = letters.encode().decode("latin-1").translate(self.symbols)
-        space = "" if broken else self.symbols[32]
-        if letters:
-            return (space + letters, marks) if marks else (space + letters,)
-        return (space + marks,) if space or marks else ()
-
-    def _pieces(self, keys: list[str]) -> list[bytes]:
-        """Ids of new pieces; words that differ in marks only share their stem."""
-        parts = [self._split(k) for k in keys]
-        if len(self.stems) > self.cache_entries:
-            self.stems = {}
-        stems = self.stems
-        new = list(dict.fromkeys(s for p in parts if p for s in p if s not in stems))
-        for stem, ids in zip(new, self.merges(new) if self.merges else [None] * len(new)):
-            if ids is None:
-                ids = np.array([t.id for t in self.model.tokenize(stem)], dtype="<u4").tobytes()
-            stems[stem] = ids
-        out = []
-        for key, own in zip(keys, parts):
-            broken = key[:1] == "\n"
-            if own is None:
-                ids = self._whole(key[1:] if broken else " " + key)
+    def _library(self, data: np.ndarray, start: int, size: int, spaced: bool) -> np.ndarray:
+        """Ids of one pre-token by the library's own model."""
+        shown = "".join(self.symbols[b] for b in [32] * int(spaced) + data[start : start + size].tolist())
+        return np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4")
+
+    def _stems(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of pre-tokens lie in the stems' store, and how many."""
+        self.stems.trim()
+        keys = span_hashes(data, starts, sizes) ^ np.where(spaced, np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+        checks = span_checks(data, starts, sizes)
+        at, counts, there = self.stems.find(keys, checks)
+        lost = np.flatnonzero(~there)
+        if len(lost):
+            _, first, same = np.unique(keys[lost], return_index=True, return_inverse=True)
+            new = lost[first]
+            if self.merges:
+                ids, n, long = self.merges(data, starts[new], sizes[new], spaced[new])
             else:
-                ids = b"".join([stems[s] for s in own])
-            out.append(self.newline + ids if broken else ids)
-        return out
+                ids, n, long = np.zeros(0, "<u4"), np.zeros(len(new), np.int64), sizes[new] + spaced[new] > 0
+            if long.any():
+                begin = np.cumsum(n) - n
+                parts = [self._library(data, starts[new[i]], sizes[new[i]], spaced[new[i]]) if long[i] else ids[begin[i] : begin[i] + n[i]] for i in range(len(new))]
+                ids, n = np.concatenate(parts), np.array([len(x) for x in parts])
+            own = self.stems.add(keys[new], checks[new], ids, n)
+            at[lost], counts[lost] = own[same], n[same]
+        return at, counts
+
+    def _pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pieces (a line break and a word, or a space and a word), end
+        to end, and how many of each; words that differ in marks share their stem."""
+        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+        some, odd = np.flatnonzero(plain), np.flatnonzero(~plain)
+        data, bounds = string_bytes(words.take(pa.array(some)))
+        broken = np.zeros(len(some), dtype=bool)
+        full = bounds[1:] > bounds[:-1]
+        broken[full] = data[bounds[:-1][full]] == 10
+        begin, end = bounds[:-1] + broken, bounds[1:]
+        letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+        n_letters = letters[end] - letters[begin]
+        marked = np.flatnonzero((n_letters > 0) & (end - begin > n_letters))
+        sizes = np.where(n_letters > 0, n_letters, end - begin)
+        at, counts = self._stems(
+            data, np.concatenate([begin, (begin + n_letters)[marked]]), np.concatenate([sizes, (end - begin - n_letters)[marked]]),
+            np.concatenate([~broken, np.zeros(len(marked), dtype=bool)]),
+        )
+        wholes = [np.frombuffer(self._whole(key if key[:1] == "\n" else " " + key), "<u4") for key in words.take(pa.array(odd)).to_pylist()]
+        n = np.zeros(len(words), np.int64)
+        lead = broken * len(self.newline)
+        n[some] = lead + counts[: len(some)]
+        n[some[marked]] += counts[len(some) :]
+        n[odd] = [len(x) for x in wholes]
+        first = np.cumsum(n) - n
+        out = np.zeros(int(n.sum()), "<u4")
+        if len(self.newline):
+            out[(first[some[broken]][:, None] + np.arange(len(self.newline))).ravel()] = np.tile(self.newline, int(broken.sum()))
+        starts = np.concatenate([first[some] + lead, (first[some] + lead + counts[: len(some)])[marked]])
+        out[spread(starts, counts)] = self.stems.store[spread(at, counts)]
+        if wholes:
+            out[spread(first[odd], n[odd])] = np.concatenate(wholes)
+        return out, n
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an array's texts, and where each text begins (n + 1 offsets)."""
@@ -204,31 +282,22 @@ class ByteBpe:
         lists = pc.split_pattern(marked, " ")
         offsets = lists.offsets.to_numpy()
         words = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        keys = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist
-        if len(self.young) > self.cache_entries:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        pieces = list(map(young.get, keys))
-        new = []
-        for i in [i for i, got in enumerate(pieces) if got is None]:
-            ids = old.get(keys[i])
-            if ids is None:
-                new.append(i)
-            else:
-                pieces[i] = young[keys[i]] = ids
-        for i, ids in zip(new, self._pieces([keys[i] for i in new])):
-            pieces[i] = young[keys[i]] = ids
-        lens = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
-        store = np.frombuffer(b"".join(pieces), dtype="<u4")
-        starts = np.cumsum(lens) - lens
+        self.cache.trim()
+        data, spans = string_bytes(words.dictionary)
+        keys, checks = span_hashes(data, spans[:-1], np.diff(spans)), span_checks(data, spans[:-1], np.diff(spans))
+        starts, lens, there = self.cache.find(keys, checks)
+        new = np.flatnonzero(~there)
+        if len(new):
+            own, sizes = self._pieces(words.dictionary.take(pa.array(new)))
+            starts[new], lens[new] = self.cache.add(keys[new], checks[new], own, sizes), sizes
+        store = self.cache.store
         at = words.indices.to_numpy()
         n_ids, begin = lens[at], starts[at]
         first = offsets[:-1] - offsets[0]
-        n_ids[first] -= len(self.newline) // 4
-        begin[first] += len(self.newline) // 4
+        n_ids[first] -= len(self.newline)
+        begin[first] += len(self.newline)
         ends = np.cumsum(n_ids)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = store[np.repeat((begin - (ends - n_ids)).astype(np.int32), n_ids) + np.arange(total, dtype=np.int32)]
+        ids = store[spread(begin, n_ids)]
         bounds = np.concatenate([[0], ends])[np.append(first, len(at))]
         if odd.any():
             parts, sizes = [], np.diff(bounds)

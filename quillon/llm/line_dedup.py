@@ -63,12 +63,16 @@ def words_at(data: np.ndarray) -> np.ndarray:
 def string_hashes(values: pa.Array, seed: int = 0) -> np.ndarray:
     """64-bit hash of each string of a null-free large_string array."""
     data, bounds = string_bytes(values)
-    sizes = np.diff(bounds)
+    return span_hashes(data, bounds[:-1], np.diff(bounds), seed)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each span of bytes."""
     counts = (sizes + 7) >> 3  # words of eight bytes
     first = np.cumsum(counts) - counts
     within = 8 * (np.arange(int(counts.sum())) - np.repeat(first, counts))
-    word = words_at(data)[np.repeat(bounds[:-1], counts) + within]
-    over = np.flatnonzero(counts) if len(counts) else counts  # the last word of each string may be cut
+    word = words_at(data)[np.repeat(starts, counts) + within]
+    over = np.flatnonzero(counts)  # the last word of each span may be cut
     last, left = first[over] + counts[over] - 1, (sizes[over] - 8 * (counts[over] - 1)).astype(np.uint64)
     word[last] &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left)
     each = mix(mix(word) + (within.astype(np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15))
@@ -76,6 +80,16 @@ def string_hashes(values: pa.Array, seed: int = 0) -> np.ndarray:
     return mix(run[first + counts] - run[first] + sizes.astype(np.uint64))
 
 
+def span_checks(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each span and its size, as one number."""
+    out = sizes.astype(np.uint64) << np.uint64(32)
+    some = np.flatnonzero(sizes)
+    word = words_at(data)[starts[some]]
+    short = np.maximum(64 - 8 * sizes[some], 0).astype(np.uint64)
+    out[some] ^= mix(word & (np.uint64(0xFFFFFFFFFFFFFFFF) >> short))
+    return out
+
+
 #: Lower-case letters and digits stay, other ASCII becomes a blank; bytes of
 #: longer characters stay here.
 _PLAIN = np.array([c if chr(c).isalnum() or c > 127 else 32 for c in range(256)], dtype=np.uint8)
