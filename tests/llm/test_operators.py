@@ -886,7 +886,7 @@ def test_bounds_enclose_the_scores():
 def test_language_stage_rejects_unsure_texts(spark, monkeypatch):
     import corpus_pipeline
 
-    scores = [(0, "aa", 0.3), (1, "aa", 0.79), (2, "bb", 0.81), (3, "und", 0.0), (4, "aa", 1.0)]
+    scores = [(0, "aa", 0.3), (1, "aa", 0.49), (2, "bb", 0.51), (3, "und", 0.0), (4, "aa", 1.0)]
     docs = spark.createDataFrame([(i, "x", None, "s", 1) for i, _, _ in scores], SCHEMA)
     told = spark.createDataFrame(scores, "doc_id long, _lang_pred string, _score double")
     monkeypatch.setattr(language_id, "train", lambda df: type("Net", (), {"labels": ["aa", "bb", "cc", "dd"]})())
