@@ -20,8 +20,9 @@ from quillon.llm import jaccard_join, language_id, line_dedup, packing, quality_
 from quillon.llm.common import Workspace, documents, own_names, scratch, tokenizer_file
 
 #: Predictions less sure than this count as no language: 0 is what chance among
-#: the labels scores, 1 a certain one.  With four labels the score is 0.8.
-MIN_LANGUAGE_CONFIDENCE = 11 / 15
+#: the labels scores, 1 a certain one.  With four labels the score is 0.5: the
+#: language must hold more of the text than all others together.
+MIN_LANGUAGE_CONFIDENCE = 1 / 3
 
 
 def least_score(n_labels: int) -> float:
