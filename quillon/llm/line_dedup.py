@@ -563,6 +563,27 @@ def _near(sims: np.ndarray, sizes: np.ndarray):
         yield i[own], j[own]
 
 
+#: Groups up to this size are paired all at once, by the distance of their rows.
+FEW = 16
+
+
+def _near_pairs(block: np.ndarray, sims: np.ndarray, sizes: np.ndarray):
+    """``_near`` over all groups of sorted rows: pairs of rows, in portions."""
+    starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(starts, len(block)))
+    last, few = np.repeat(starts + counts, counts), np.repeat(counts <= FEW, counts)
+    i = np.flatnonzero(few)
+    for step in range(1, FEW):
+        i = i[i + step < last[i]]
+        if not len(i):
+            break
+        ok = _may_pair(sims[i] ^ sims[i + step], sizes[i], sizes[i + step])
+        yield i[ok], i[ok] + step
+    for lo, n in zip(starts[counts > FEW].tolist(), counts[counts > FEW].tolist()):
+        for a, b in _near(sims[lo : lo + n], sizes[lo : lo + n]):
+            yield lo + a, lo + b
+
+
 def _fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the shorter length allows the similarity."""
     return np.minimum(a, b) >= np.ceil(np.round(np.maximum(a, b) * SIMILARITY, 6))
@@ -588,16 +609,9 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
         for rows in _buckets(batches):
             if not len(rows):
                 continue
-            starts = np.flatnonzero(np.diff(rows["block"], prepend=rows["block"][0] + np.uint64(1)))
-            counts = np.diff(np.append(starts, len(rows)))
-            near = np.zeros(len(rows), dtype=bool)
-            two = starts[counts == 2]
-            x = rows[two], rows[two + 1]
-            ok = _may_pair(x[0]["sim"] ^ x[1]["sim"], x[0]["size"], x[1]["size"])
-            near[two[ok]] = near[two[ok] + 1] = True
-            for lo, n in zip(starts[counts > 2].tolist(), counts[counts > 2].tolist()):
-                for i, j in _near(rows["sim"][lo : lo + n], rows["size"][lo : lo + n]):
-                    near[lo + i] = near[lo + j] = True
+            near, sims, sizes = np.zeros(len(rows), dtype=bool), np.ascontiguousarray(rows["sim"]), np.ascontiguousarray(rows["size"])
+            for i, j in _near_pairs(np.ascontiguousarray(rows["block"]), sims, sizes):
+                near[i] = near[j] = True
             rows = rows[near]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c]).view(np.int64)) for c in ("block", "key", "sim")] + [pa.array(np.ascontiguousarray(rows["size"]))], ["block", "key", "sim", "size"])
 
@@ -611,8 +625,14 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
             a, b, waiting, held = [], [], [], 0
             sims, keys = table.column("sim").to_numpy().view(np.uint64), table.column("key").to_numpy()
             sizes, blocks = table.column("size").to_numpy(), table.column("block").to_numpy().view(np.uint64)
-            texts, same, group = table.column("norm").to_pylist(), np.arange(len(keys)), np.zeros(len(keys), dtype=np.int64)
+            texts, same = table.column("norm").to_pylist(), np.arange(len(keys))
             places = np.frombuffer(b"".join(table.column("places").to_pylist()), "<u4").reshape(-1, TABLES)
+            here = (places == blocks.astype(np.uint32)[:, None]).argmax(axis=1)  # the table they meet in
+            earlier = np.arange(TABLES) < here[:, None]
+            new = np.append(True, blocks[1:] != blocks[:-1])
+            starts = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            ends = np.append(starts[1:], len(blocks))
 
             def compare():
                 """Compares waiting pairs until each is one connected group or told apart."""
@@ -625,7 +645,7 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
                     for k in first[all_similar([(texts[x], texts[y]) for x, y in zip(p[first].tolist(), q[first].tolist())])].tolist():
                         x, y = int(p[k]), int(q[k])
                         if same[x] != same[y]:
-                            part = same[group[x] : group[x] + span[group[x]]]
+                            part = same[starts[group[x]] : ends[group[x]]]
                             part[part == same[y]] = same[x]
                             a.append(keys[x])
                             b.append(keys[y])
@@ -633,18 +653,13 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
                     rest[first] = False
                     p, q = p[rest], q[rest]
 
-            span: dict[int, int] = {}
-            for lo, hi in _bounds(table, ["block"]):
-                group[lo:hi], span[lo] = lo, hi - lo
-                own = places[lo:hi]
-                here = int(np.flatnonzero((own == blocks[lo].astype(np.uint32)).all(axis=0))[0])  # the table they meet in
-                for i, j in _near(sims[lo:hi], sizes[lo:hi]):
-                    fresh = ~(own[i, :here] == own[j, :here]).any(axis=1)  # else compared there
-                    waiting.append((lo + i[fresh], lo + j[fresh]))
-                    held += len(i)
-                    if held > 1 << 16:
-                        compare()
-                        held = 0
+            for i, j in _near_pairs(blocks, sims, sizes):
+                fresh = ~((places[i] == places[j]) & earlier[i]).any(axis=1)  # else compared there
+                waiting.append((i[fresh], j[fresh]))
+                held += len(i)
+                if held > 1 << 16:
+                    compare()
+                    held = 0
             if waiting:
                 compare()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
