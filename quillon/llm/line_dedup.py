@@ -124,8 +124,24 @@ def normalised(lines: pa.Array) -> pa.Array:
 _ONES = np.uint64(0x0101010101010101)
 
 
+#: Features worked on at once, so that they stay in the processor's cache.
+PORTION = 1 << 16
+
+
+def portions(starts: np.ndarray):
+    """Ranges of runs of about ``PORTION`` features; ``starts`` ends with the total."""
+    at = np.searchsorted(starts, np.arange(0, starts[-1] + PORTION, PORTION)).clip(max=len(starts) - 1)
+    at = np.unique(at).tolist()
+    return zip(at[:-1], at[1:])
+
+
 def simhash(features: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """SimHash of each run of 64-bit features; ``starts`` ends with the total."""
+    parts = [_simhash(features[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo]) for lo, hi in portions(starts)]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def _simhash(features: np.ndarray, starts: np.ndarray) -> np.ndarray:
     counts = np.diff(starts)
     pieces = -(-counts // 255)  # byte counters hold 255 features
     owner = np.repeat(np.arange(len(counts)), pieces)
@@ -186,15 +202,17 @@ def meeting_places(features: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For each line its place in each table: lines x TABLES."""
     if len(starts) < 2:
         return np.zeros((0, TABLES), dtype=np.uint64)
-    high = (features >> np.uint64(32)).astype(np.uint32)
-    part, out = np.empty_like(high), np.empty((len(starts) - 1, TABLES), dtype=np.uint64)
-    for t in range(TABLES):
-        place = np.full(len(out), t, dtype=np.uint64)
-        for factor, flips in _RANDOM[t * ROWS : (t + 1) * ROWS]:
-            np.multiply(high, factor | np.uint32(1), out=part)
-            np.bitwise_xor(part, flips, out=part)
-            place = mix(place ^ np.minimum.reduceat(part, starts[:-1]).astype(np.uint64))
-        out[:, t] = place
+    out = np.empty((len(starts) - 1, TABLES), dtype=np.uint64)
+    for lo, hi in portions(starts):
+        high = (features[starts[lo] : starts[hi]] >> np.uint64(32)).astype(np.uint32)
+        begin, part = starts[lo:hi] - starts[lo], np.empty_like(high)
+        for t in range(TABLES):
+            place = np.full(hi - lo, t, dtype=np.uint64)
+            for factor, flips in _RANDOM[t * ROWS : (t + 1) * ROWS]:
+                np.multiply(high, factor | np.uint32(1), out=part)
+                np.bitwise_xor(part, flips, out=part)
+                place = mix(place ^ np.minimum.reduceat(part, begin).astype(np.uint64))
+            out[lo:hi, t] = place
     return out
 
 
@@ -268,8 +286,11 @@ def _within(a: str, b: str, allowed: int) -> bool:
     return distance <= allowed
 
 
-#: Pairs whose distances are taken together, and the longest strings for that.
-TOGETHER, TOGETHER_CHARS = 192, 3000
+#: Longest strings whose distances are taken together; characters of one side of
+#: a portion, and the words of eight bytes of its table of places.
+TOGETHER_CHARS, TOGETHER, TOGETHER_WORDS = 3000, 1 << 20, 1 << 21
+#: Portions of fewer pairs are taken one by one.
+LONE = 24
 
 
 def all_similar(pairs: list[tuple[str, str]], similarity: float = SIMILARITY) -> np.ndarray:
@@ -283,79 +304,113 @@ def all_similar(pairs: list[tuple[str, str]], similarity: float = SIMILARITY) ->
             out[k] = _within(*found)
         else:
             left.append((max(len(found[0]), len(found[1])), k, *found))
-    left.sort(key=lambda x: x[0])
-    for at in range(0, len(left), TOGETHER):
-        some = left[at : at + TOGETHER]
-        if len(some) < 4:
-            for _, k, a, b, allowed in some:
-                out[k] = _within(a, b, allowed)
-        else:
-            out[[x[1] for x in some]] = _all_within([x[2] for x in some], [x[3] for x in some], np.array([x[4] for x in some]))
+    left.sort(key=lambda x: (-(x[4].bit_length()), -x[0]))  # bands alike, then lengths
+    at = 0
+    while at < len(left):
+        some = left[at : at + max(LONE, TOGETHER // left[at][0])]
+        out[[x[1] for x in some]] = _all_within([x[2] for x in some], [x[3] for x in some], np.array([x[4] for x in some]))
+        at += len(some)
     return out
 
 
-def _grid(texts: list[str], sizes: np.ndarray, margin: int, fill: int) -> np.ndarray:
-    """Code points as 16 bits, ``margin`` cells of ``fill`` on either side."""
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
-    out = np.full((len(texts), int(sizes.max()) + 2 * margin), fill, dtype=np.uint16)
-    column = np.arange(out.shape[1])
-    out[(column >= margin) & (column < margin + sizes[:, None])] = points
-    return out
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All code points one after the other, and the texts' lengths."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4"), np.array([len(x) for x in texts])
 
 
 def _all_within(a: list[str], b: list[str], allowed: np.ndarray) -> np.ndarray:
-    """``_within`` of many pairs: the table of distances along its antidiagonals,
-    in a band about the main one, all pairs in step."""
-    n, size_a, size_b = len(a), np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    if any(ord(max(x)) >= 0xFFFE for x in (*a, *b)):  # beyond 16 bits
+    """``_within`` of many pairs by Myers' bit vectors, all pairs in step: 64 rows
+    of the table of distances to a word, and of each column only the words that
+    touch a band about the diagonal.  Cells beyond the band count as far, which
+    no path of at most ``allowed`` edits meets."""
+    n = len(a)
+    (left, rows), (right, columns) = _codes(a), _codes(b)
+    n_words, longest = -(-int(rows.max()) // 64), int(columns.max())
+    spare = (allowed - np.abs(rows - columns)) // 2  # of the edits, those that may lead away and back
+    above, below = int((np.maximum(columns - rows, 0) + spare).max()), int((np.maximum(rows - columns, 0) + spare).max())
+    used = np.zeros(int(max(left.max(), right.max())) + 1, dtype=bool)
+    used[left] = True
+    code = np.where(used, np.cumsum(used), 0)  # 0: not in any a
+    letters = int(used.sum()) + 1
+    if n < LONE:
         return np.array([_within(*x) for x in zip(a, b, allowed.tolist())])
-    band = int(allowed.max()) | 1  # diagonals -band .. band, odd: those of one parity are band + 1, of the other band
-    margin = band + 2
-    left, right = _grid(a, size_a, margin, 0xFFFF), _grid([x[::-1] for x in b], size_b, margin, 0xFFFE)
-    shift = int(size_b.max()) - size_b  # reversed strings end together
-    if shift.any():
-        right = np.take_along_axis(right, (np.arange(right.shape[1]) - shift[:, None]) % right.shape[1], axis=1)
-    longest_b = int(size_b.max())
-    far = np.int16(16000)
-    # cell d of even: diagonal -band + 1 + 2 d; of odd: -band + 2 d
-    even, odd = np.full((n, band), far), np.full((n, band + 1), far)
-    even[:, (band - 1) // 2] = 0
-    ends, diagonal = size_a + size_b, size_a - size_b
-    out, rows, last = np.zeros(n, dtype=bool), np.arange(n), int(ends.max())
-    near = np.empty((n, band + 1), dtype=np.int16)
-    for step in range(1, last + 1):
-        now, other = (odd, even) if step & 1 else (even, odd)
-        first = -band if step & 1 else -band + 1  # the first diagonal of this parity
-        width = now.shape[1]
-        i, j = (step + first) // 2, (step - first) // 2  # its cell; along the antidiagonal i grows and j falls
-        x = left[:, margin + i - 1 : margin + i - 1 + width]
-        y = right[:, margin + longest_b - j : margin + longest_b - j + width]
-        best = near[: len(rows), :width]
-        if step & 1:  # neighbours: even[d - 1] and even[d]
-            best[:, 1:-1] = np.minimum(other[:, :-1], other[:, 1:])
-            best[:, 0], best[:, -1] = other[:, 0], other[:, -1]
-        else:
-            np.minimum(other[:, :-1], other[:, 1:], out=best)
-        best += np.int16(1)
-        now += x != y
-        np.minimum(now, best, out=now)
-        np.minimum(now, far, out=now)
-        done = ends == step
-        if done.any():
-            k = np.flatnonzero(done)
-            cell = (diagonal[k] - first) // 2
-            inside = (cell >= 0) & (cell < width)
-            out[rows[k[inside]]] = now[k[inside], cell[inside]] <= allowed[k[inside]]
-        if done.any() or step % 64 == 0:
-            stay = ~done & (np.minimum(now.min(axis=1), other.min(axis=1)) <= allowed)
+    if n * letters * n_words > TOGETHER_WORDS:
+        half = n // 2
+        return np.concatenate([_all_within(a[:half], b[:half], allowed[:half]), _all_within(a[half:], b[half:], allowed[half:])])
+
+    def owners(sizes):
+        return np.repeat(np.arange(n), sizes), np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+    # places[w, pair, letter]: the rows of word w that hold the letter
+    places = np.zeros((n_words, n * letters), dtype=np.uint64)
+    pair, at = owners(rows)
+    np.add.at(places.reshape(-1), (at >> 6) * (n * letters) + pair * letters + code[left], np.uint64(1) << (at & 63).astype(np.uint64))
+    pair, at = owners(columns)
+    met = np.repeat(np.arange(n)[None, :] * letters, longest, axis=0)
+    met[at, pair] += code[right]
+
+    one, high = np.uint64(1), np.uint64(63)
+    plus, minus = np.full((n_words, n), ~np.uint64(0)), np.zeros((n_words, n), dtype=np.uint64)
+    alive, out = np.arange(n), np.zeros(n, dtype=bool)
+    eq, xv, x, up, down, carry_up, carry_down = np.empty((7, n), dtype=np.uint64)
+    inside = np.clip(rows[None, :] - 64 * np.arange(n_words)[:, None], 0, 64).astype(np.uint64)
+    inside = np.where(inside == 64, ~np.uint64(0), (one << (inside & high)) - one)  # rows of each a
+    ends = np.zeros(longest + 1, dtype=bool)
+    ends[columns] = True
+    for j in range(1, longest + 1):
+        carry_up.fill(1)
+        carry_down.fill(0)
+        for w in range(max(0, (j - above - 1) // 64), min(n_words, (j + below - 1) // 64 + 1)):
+            p, m = plus[w], minus[w]
+            np.take(places[w], met[j - 1], out=eq, mode="clip")
+            np.bitwise_or(eq, m, out=xv)
+            np.bitwise_or(eq, carry_down, out=eq)
+            np.bitwise_and(eq, p, out=x)
+            np.add(x, p, out=x)
+            np.bitwise_xor(x, p, out=x)
+            np.bitwise_or(x, eq, out=x)
+            np.bitwise_or(x, p, out=up)
+            np.invert(up, out=up)
+            np.bitwise_or(up, m, out=up)
+            np.bitwise_and(p, x, out=down)
+            np.right_shift(up, high, out=eq)  # on to the next word
+            np.left_shift(up, one, out=up)
+            np.bitwise_or(up, carry_up, out=up)
+            np.copyto(carry_up, eq)
+            np.right_shift(down, high, out=eq)
+            np.left_shift(down, one, out=down)
+            np.bitwise_or(down, carry_down, out=down)
+            np.copyto(carry_down, eq)
+            np.bitwise_or(xv, up, out=p)
+            np.invert(p, out=p)
+            np.bitwise_or(p, down, out=p)
+            np.bitwise_and(up, xv, out=m)
+        if ends[j]:
+            k = np.flatnonzero(columns == j)
+            more, less = (np.bitwise_count(x[:, k] & inside[:, k]).sum(axis=0, dtype=np.int64) for x in (plus, minus))
+            out[alive[k]] = j + more - less <= allowed[k]
+        if j % 64 == 0 and j < longest:
+            stay = (columns > j) & (_least(plus, minus, rows, columns, j) <= allowed)
             if not stay.any():
                 break
-            if stay.sum() <= 0.9 * len(rows):
-                even, odd, left, right = even[stay], odd[stay], left[stay], right[stay]
-                rows, ends, diagonal, allowed = rows[stay], ends[stay], diagonal[stay], allowed[stay]
+            if stay.sum() <= 0.8 * len(alive):
+                alive, rows, columns, allowed = alive[stay], rows[stay], columns[stay], allowed[stay]
+                plus, minus, inside, met = (np.compress(stay, x, axis=1) for x in (plus, minus, inside, met))
+                eq, xv, x, up, down, carry_up, carry_down = np.empty((7, len(alive)), dtype=np.uint64)
     return out
 
 
+def _least(plus: np.ndarray, minus: np.ndarray, rows: np.ndarray, columns: np.ndarray, j: int) -> np.ndarray:
+    """A lower bound of each pair's distance after column j: the least cell and
+    the least way on, from every eighth row; between two of them either falls
+    by four at most."""
+    step = np.bitwise_count(plus.view(np.uint8)).astype(np.int16) - np.bitwise_count(minus.view(np.uint8)).astype(np.int16)
+    step = step.reshape(len(plus), -1, 8).transpose(1, 0, 2).reshape(len(rows), -1)
+    here = np.concatenate([np.zeros((len(rows), 1), np.int64), np.cumsum(step, axis=1)], axis=1) + j
+    row = 8 * np.arange(here.shape[1])
+    return (here + np.abs((rows[:, None] - row) - (columns[:, None] - j))).min(axis=1) - 8
+
+
 def bit_filter(keys: DataFrame, column: str, places=None) -> np.ndarray:
     """A filter of fixed size: a set bit for each key's two positions."""
     places = keys.select(F.explode(F.array(*(places or spots)(column))).alias("p"))
