@@ -289,8 +289,8 @@ def _within(a: str, b: str, allowed: int) -> bool:
 #: Longest strings whose distances are taken together; characters of one side of
 #: a portion, and the words of eight bytes of its table of places.
 TOGETHER_CHARS, TOGETHER, TOGETHER_WORDS = 3000, 1 << 20, 1 << 21
-#: Portions of fewer pairs are taken one by one.
-LONE = 24
+#: Portions of fewer pairs for each word of the band are taken one by one.
+LONE = 10
 
 
 def all_similar(pairs: list[tuple[str, str]], similarity: float = SIMILARITY) -> np.ndarray:
@@ -305,9 +305,11 @@ def all_similar(pairs: list[tuple[str, str]], similarity: float = SIMILARITY) ->
         else:
             left.append((max(len(found[0]), len(found[1])), k, *found))
     left.sort(key=lambda x: (-(x[4].bit_length()), -x[0]))  # bands alike, then lengths
+    marks = np.array([(x[4].bit_length(), x[0]) for x in left]).reshape(-1, 2)
     at = 0
     while at < len(left):
-        some = left[at : at + max(LONE, TOGETHER // left[at][0])]
+        alike = (marks[at:, 0] == marks[at, 0]) & (3 * marks[at:, 1] >= 2 * marks[at, 1])  # True up to a point
+        some = left[at : at + min(int(alike.sum()), max(1, TOGETHER // left[at][0]))]
         out[[x[1] for x in some]] = _all_within([x[2] for x in some], [x[3] for x in some], np.array([x[4] for x in some]))
         at += len(some)
     return out
@@ -328,12 +330,12 @@ def _all_within(a: list[str], b: list[str], allowed: np.ndarray) -> np.ndarray:
     n_words, longest = -(-int(rows.max()) // 64), int(columns.max())
     spare = (allowed - np.abs(rows - columns)) // 2  # of the edits, those that may lead away and back
     above, below = int((np.maximum(columns - rows, 0) + spare).max()), int((np.maximum(rows - columns, 0) + spare).max())
+    if n < LONE * min(n_words, 2 + (above + below) // 64):
+        return np.array([_within(*x) for x in zip(a, b, allowed.tolist())])
     used = np.zeros(int(max(left.max(), right.max())) + 1, dtype=bool)
     used[left] = True
     code = np.where(used, np.cumsum(used), 0)  # 0: not in any a
     letters = int(used.sum()) + 1
-    if n < LONE:
-        return np.array([_within(*x) for x in zip(a, b, allowed.tolist())])
     if n * letters * n_words > TOGETHER_WORDS:
         half = n // 2
         return np.concatenate([_all_within(a[:half], b[:half], allowed[:half]), _all_within(a[half:], b[half:], allowed[half:])])
@@ -593,6 +595,19 @@ def _groups(batches, columns: list[str], by: list[str]):
         yield held, np.zeros(0, np.int64)
 
 
+def _together(groups, rows: int):
+    """Tables of complete groups joined until they hold that many rows."""
+    held, n = [], 0
+    for table, _ in groups:
+        held.append(table)
+        n += table.num_rows
+        if n >= rows:
+            yield pa.concat_tables(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_tables(held)
+
+
 def _bounds(table: pa.Table, by: list[str]) -> list[tuple[int, int]]:
     """Groups of more than one row."""
     new = np.zeros(table.num_rows, dtype=bool)
@@ -605,6 +620,10 @@ def _bounds(table: pa.Table, by: list[str]) -> list[tuple[int, int]]:
     return [(int(starts[i]), int(starts[i + 1])) for i in many]
 
 
+#: Rows of meeting places whose pairs are compared together.
+TOGETHER_ROWS = 1 << 16
+
+
 def _near(sims: np.ndarray, sizes: np.ndarray):
     """Pairs (i, j), i < j, of a group whose SimHashes are near and whose lengths
     allow the similarity; in blocks of rows, so memory is linear in the group."""
@@ -676,7 +695,7 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
 
     def verify(batches):
         begin_task()
-        for table, _ in _groups(batches, ["block", "key", "sim", "size", "norm", "places"], ["block"]):
+        for table in _together(_groups(batches, ["block", "key", "sim", "size", "norm", "places"], ["block"]), TOGETHER_ROWS):
             a, b, waiting, held = [], [], [], 0
             sims, keys = table.column("sim").to_numpy().view(np.uint64), table.column("key").to_numpy()
             sizes, blocks = table.column("size").to_numpy(), table.column("block").to_numpy().view(np.uint64)
@@ -693,10 +712,13 @@ def dedup_lines(docs: DataFrame, count_name: str = "n_dropped") -> DataFrame:
                 """Compares waiting pairs until each is one connected group or told apart."""
                 p, q = (np.concatenate(x) for x in zip(*waiting))
                 waiting.clear()
+                order = np.argsort(q, kind="stable")
+                p, q, most = p[order], q[order], 1
                 while len(p):
                     apart = same[p] != same[q]
                     p, q = p[apart], q[apart]
-                    first = np.unique(q, return_index=True)[1]  # each line once a round
+                    first = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) < most)  # of each line's pairs
+                    most *= 2  # once in the first round, then twice as often
                     for k in first[all_similar([(texts[x], texts[y]) for x, y in zip(p[first].tolist(), q[first].tolist())])].tolist():
                         x, y = int(p[k]), int(q[k])
                         if same[x] != same[y]:
