@@ -879,6 +879,24 @@ def test_reading_stops_where_outsiders_cannot_qualify():
         assert [g for g in got if -g[0] >= floors[i]] == want
 
 
+@pytest.mark.parametrize("factor", [1, 1 << 8, 1 << 20])
+def test_floors_spare_lower_bounds(monkeypatch, factor):
+    """With floors only upper bounds are worked out, from any depth on and over
+    lists sorted once, and no candidate that reaches the floor is lost."""
+    rng = np.random.default_rng(6)
+    x, ids = np.floor(rng.standard_normal((700, 8)) * 32).astype(np.int64) * factor, np.arange(700) // 2  # ids repeat
+    own = np.arange(0, 40, 2)
+    scores = x[own] @ x.T
+    floors = np.sort(scores, axis=1)[:, -12]
+    monkeypatch.setattr(topk_search, "lower", None)
+    lists = topk_search.sorted_lists(x)
+    for start in range(len(topk_search.DEPTHS)):
+        query, column, score, _ = topk_search.search_block(ids[own], x[own], ids, x, 5, floors, lists, start)
+        for i in range(len(own)):
+            want = sorted((-int(s), int(ids[c])) for c, s in enumerate(scores[i]) if s >= floors[i] and ids[c] != ids[own[i]])[:5]
+            assert [(-int(s), int(ids[c])) for c, s in zip(column[query == i], score[query == i])] == want
+
+
 def test_vectors_too_long_for_long_scores_are_an_error(spark):
     df = spark.createDataFrame([(0, [1e8, 1.0]), (1, [2.0, 3.0])], "vec_id long, embedding array<double>")
     assert topk_search.top_k(df.where("vec_id = 1"), F.col("vec_id") % 50 == 0).collect() == []
