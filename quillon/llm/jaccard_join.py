@@ -36,9 +36,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.arrow import begin_task, text_slices
+from quillon.llm.arrow import begin_task, string_bytes, text_slices
 from quillon.llm.common import Workspace, components, documents, own_names
-from quillon.llm.line_dedup import _bounds, _groups, bit_filter, hits, mix, spots, string_hashes
+from quillon.llm.line_dedup import _bounds, _groups, bit_filter, hits, large_strings, mix, spots, string_hashes
 
 WIDTH = 5
 PERCENT = 80
@@ -49,10 +49,16 @@ CROWD = 32  # sets at one meeting place beyond which no pairs are listed
 
 ROW_KEY = "xxhash64(doc_id, text)"
 
+#: A-Z in lower case, all other bytes as they are.
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
+
 
 def shingle_sets(texts: pa.Array, width: int):
     """The sorted distinct shingle hashes of each text."""
-    texts = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
+    # not pc.ascii_lower: it misreads an array whose first offset is not 0, as
+    # the cast makes of every slice but the first
+    data, bounds = string_bytes(pc.fill_null(texts, "").cast(pa.large_string()))
+    texts = large_strings(_LOWER[data], bounds)
     lists = pc.ascii_split_whitespace(texts)
     words = lists.flatten()
     real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)

@@ -16,6 +16,7 @@ pytest.importorskip("quillon.llm.common")
 from pyspark.sql import functions as F  # noqa: E402
 
 from quillon.llm import jaccard_join, language_id, line_dedup, lm_scoring, packing, piece_codec, quality_rules, sharding, token_store, topk_search  # noqa: E402
+from quillon.llm.arrow import SLICE_BYTES, text_slices  # noqa: E402
 from quillon.llm.byte_bpe import byte_bpe  # noqa: E402
 from quillon.llm.common import Workspace, components, tokenizer_file  # noqa: E402
 from tests.oracle import DATA, rows, tables  # noqa: E402
@@ -269,6 +270,26 @@ def test_jaccard_matches_sql(spark, empty):
     assert jaccard_join.join(empty).collect() == []
 
 
+@pytest.mark.parametrize("width", [3, 5])
+def test_shingle_sets_of_every_slice(width):
+    texts = odd_texts(31) + [edited(passage(60 + k, 40 + k), k, 2).title() for k in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    slices = list(text_slices(batch, limit=600))
+    assert len(slices) > 3
+    got = [len(s) for b in slices for s in jaccard_join.shingle_sets(b.column("text"), width)]
+    assert got == [len(shingles(t, width)) for t in texts]
+
+
+def test_jaccard_over_several_slices_a_batch(spark):
+    """Texts beyond the first ``SLICE_BYTES`` of a batch are joined as the first."""
+    texts = [passage(900 + k, 20000).title() for k in range(52)]
+    assert sum(map(len, texts)) > 1.5 * SLICE_BYTES
+    texts += [texts[0].lower(), edited(texts[51], 1, 5)] + [passage(990 + k, 60) for k in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs, 3, 90).collect()}
+    assert got == {k: (len(shingles(t, 3)), {52: 0, 53: 51}.get(k, k)) for k, t in enumerate(texts)}
+
+
 def test_boundary_follows_the_cost():
     sizes = np.ones(jaccard_join.PART, dtype=np.int64) * 100
     short, long = jaccard_join.boundary(sizes, 0.0, 90), jaccard_join.boundary(sizes, 1000.0, 90)
