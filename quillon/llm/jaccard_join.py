@@ -270,7 +270,7 @@ def crowd_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, rk, n_shingles, set_key (class) and component_id per document."""
-    spark, work = docs.sparkSession, Workspace(docs.sparkSession, "jaccard")
+    spark, work = docs.sparkSession, Workspace(docs.sparkSession, "jaccard", free=True)
     counters, sizes = _count(docs, width)
     used = counters[counters > 0]
     edge = boundary(sizes, float(np.median(used)) if len(used) else 0.0, percent)
@@ -279,6 +279,8 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
         F.min("rk").alias("rk"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("places").alias("places")
     )
     classes = work.table(classes, "classes")
+    members = work.table(sets.select("doc_id", "rk", "size", "set_key"), "members")
+    work.drop("sets")  # the keys are in the classes
     rows = classes.select("set_key", "size", F.explode(F.arrays_zip("keys", "places")).alias("z")).select(
         F.col("z.keys").alias("key"), "set_key", "size", F.col("z.places").alias("place")
     )
@@ -288,6 +290,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     crowds = met.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("set_key"))
     needed = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).unionByName(crowds.select("set_key")).distinct()
     wanted = work.table(needed.join(classes.select("set_key", "rk"), "set_key"), "wanted")
+    work.drop("classes")
     bits = spark.sparkContext.broadcast(bit_filter(wanted, "rk"))  # of fixed size
 
     def load(batches):
@@ -330,9 +333,9 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
 
     gathered = crowds.select("key", "set_key").join(items, "set_key").repartition("key").sortWithinPartitions("key", "set_key")
     links = work.table(links.unionByName(gathered.mapInArrow(crowd, "a long, b long")), "links")
-    work.drop("classes", "met", "pairs", "wanted", "items")
+    work.drop("met", "pairs", "wanted", "items")
     groups = components(links, work)
-    placed = sets.select("doc_id", "rk", "size", "set_key").join(groups.withColumnRenamed("node", "set_key"), "set_key", "left")
+    placed = members.join(groups.withColumnRenamed("node", "set_key"), "set_key", "left")
     placed = placed.select("doc_id", "rk", F.col("size").alias("n_shingles"), "set_key", F.coalesce("component", "set_key").alias("component"))
     least = placed.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     alone = placed.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))

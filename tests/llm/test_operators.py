@@ -18,7 +18,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from quillon.llm import jaccard_join, language_id, line_dedup, lm_scoring, packing, piece_codec, quality_rules, sharding, token_store, topk_search  # noqa: E402
 from quillon.llm.arrow import SLICE_BYTES, text_slices  # noqa: E402
 from quillon.llm.byte_bpe import byte_bpe  # noqa: E402
-from quillon.llm.common import Workspace, components, tokenizer_file  # noqa: E402
+from quillon.llm.common import FREE_SHUFFLES, Workspace, components, tokenizer_file  # noqa: E402
 from tests.oracle import DATA, rows, tables  # noqa: E402
 
 BPE = tokenizer_file("byte_bpe_50k.json")
@@ -290,6 +290,27 @@ def test_jaccard_over_several_slices_a_batch(spark):
     assert got == {k: (len(shingles(t, 3)), {52: 0, 53: 51}.get(k, k)) for k, t in enumerate(texts)}
 
 
+def test_join_leaves_no_keys_behind(spark, monkeypatch):
+    """Tables of meeting keys go before the sets are loaded; the session's setting stays."""
+    at, there = [], []
+    own = Workspace.table
+
+    def table(self, df, name, *rest, **more):
+        out = own(self, df, name, *rest, **more)
+        at.append(self.at.removeprefix("file://"))
+        if name == "items":
+            there.extend(os.listdir(at[-1]))
+        return out
+
+    monkeypatch.setattr(Workspace, "table", table)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    docs = make(spark, [passage(1), passage(1) + " more", passage(2), "", None])
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(docs, 3, 90).collect() if r.doc_id is not None}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    assert "items" in there and not {"sets", "classes"} & set(there)
+    assert spark.conf.get(FREE_SHUFFLES, None) == before
+
+
 def test_boundary_follows_the_cost():
     sizes = np.ones(jaccard_join.PART, dtype=np.int64) * 100
     short, long = jaccard_join.boundary(sizes, 0.0, 90), jaccard_join.boundary(sizes, 1000.0, 90)
