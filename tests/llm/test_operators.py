@@ -290,6 +290,16 @@ def test_jaccard_over_several_slices_a_batch(spark):
     assert got == {k: (len(shingles(t, 3)), {52: 0, 53: 51}.get(k, k)) for k, t in enumerate(texts)}
 
 
+def test_near_copies_over_several_slices_a_batch(spark):
+    """The pipeline's stage keeps one of each group wherever in a batch its texts lie."""
+    texts = [passage(1200 + k, 20000).title() for k in range(52)]
+    assert sum(map(len, texts)) > 1.5 * SLICE_BYTES
+    texts += [texts[0].lower(), edited(texts[51], 1, 5)] + [passage(1290 + k, 60) for k in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    kept = {r.doc_id for r in jaccard_join.keep_one(docs).select("doc_id").collect()}
+    assert kept == set(range(len(texts))) - {52, 53}
+
+
 def test_join_leaves_no_keys_behind(spark, monkeypatch):
     """Tables of meeting keys go before the sets are loaded; the session's setting stays."""
     at, there = [], []
