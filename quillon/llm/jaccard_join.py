@@ -9,10 +9,16 @@ so only the lists of those are built.  The boundary is the size at which
 enumerating costs more rows than scanning, from the histogram of small sizes
 and the mean list length.
 
-Meeting places of few sets give pairs, which are verified by their sets;
-crowded ones get the sets themselves and count intersections by inverted
-lists inside one task, joining groups as they go, without listing pairs.
-Every link is verified exactly on 64-bit shingle hashes.
+Each set has a parity sketch of about as many bits as it has shingles: a bit
+says whether an odd number of shingles falls on it.  Sketches differ in no more
+bits than sets differ in shingles, so pairs whose sketches differ too much are
+dropped before any set is moved, and no link with them.
+
+Meeting places of few sets give pairs; crowded ones are thinned by the sketches
+in one task, and give pairs too unless most of their sets may link.  Pairs are
+verified by their sets; the places left get the sets themselves and count
+intersections by inverted lists inside one task, joining groups as they go,
+without listing pairs.  Every link is verified exactly on 64-bit shingle hashes.
 
 The common order comes from counters of fixed size (``COUNTERS``), filled from
 all documents; any order is right, a better one only makes lists shorter.
@@ -46,6 +52,8 @@ COUNTERS = 1 << 20
 PART = 1 << 14  # counters per shuffled row
 SMALL = 40  # sizes that the boundary may be chosen among
 CROWD = 32  # sets at one meeting place beyond which no pairs are listed
+DENSE = 8  # pairs a set, in the mean, beyond which a crowded place stays one
+SKETCH = 64  # least bits of a sketch
 
 ROW_KEY = "xxhash64(doc_id, text)"
 
@@ -93,6 +101,28 @@ def overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def parity(u: np.ndarray) -> np.ndarray:
+    """The sketch of a set: 64-bit words, a power of two of them, bits not fewer
+    than shingles."""
+    n = max(SKETCH, 1 << (len(u) - 1).bit_length())
+    odd = np.bincount((mix(u ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def fold(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (one a row) at fewer words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def near(x: np.ndarray, y: np.ndarray, a, b, percent: int) -> np.ndarray:
+    """Whether sets of sizes a and b with these sketches (one a row) may link."""
+    apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return apart <= a + b - 2 * overlap(a, b, percent)
+
+
 def _count(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Counters over all shingles, and the histogram of small set sizes."""
 
@@ -169,7 +199,7 @@ def signatures(u: np.ndarray, rank: np.ndarray, edge: int, percent: int) -> tupl
 
 
 def sketch(docs: DataFrame, counters: np.ndarray, edge: int, width: int, percent: int) -> DataFrame:
-    """(doc_id, rk, size, set_key, keys, places) of every document."""
+    """(doc_id, rk, size, set_key, keys, places, bits) of every document."""
     level = np.minimum(63, np.ceil(np.log2(counters + 1) * 1.5)).astype(np.uint64) << np.uint64(58)
     shared = docs.sparkSession.sparkContext.broadcast(level)  # COUNTERS * 8 bytes
 
@@ -178,7 +208,7 @@ def sketch(docs: DataFrame, counters: np.ndarray, edge: int, width: int, percent
         level = shared.value
         for whole in batches:
             for b in text_slices(whole):
-                sizes, ids, keys, places, offsets = [], [], [], [], [0]
+                sizes, ids, keys, places, bits, offsets = [], [], [], [], [], [0]
                 for u in shingle_sets(b.column("text"), width):
                     sizes.append(len(u))
                     ids.append(int(mix(u).sum(dtype=np.uint64).view(np.int64)) if len(u) else 0)
@@ -187,18 +217,19 @@ def sketch(docs: DataFrame, counters: np.ndarray, edge: int, width: int, percent
                         k, p = signatures(u, rank, edge, percent)
                         keys.append(k)
                         places.append(p)
+                    bits.append(parity(u).tobytes() if len(u) else b"")
                     offsets.append(offsets[-1] + (len(k) if len(u) else 0))
                 flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
                 where = np.concatenate(places).astype(np.int32) if places else np.zeros(0, np.int32)
                 at = pa.array(offsets, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), b.column("rk"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()),
-                     pa.ListArray.from_arrays(at, pa.array(flat)), pa.ListArray.from_arrays(at, pa.array(where))],
-                    ["doc_id", "rk", "size", "set_key", "keys", "places"],
+                     pa.ListArray.from_arrays(at, pa.array(flat)), pa.ListArray.from_arrays(at, pa.array(where)), pa.array(bits, pa.binary())],
+                    ["doc_id", "rk", "size", "set_key", "keys", "places", "bits"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(ROW_KEY).alias("rk"), "text")
-    return rows.mapInArrow(run, "doc_id long, rk long, size long, set_key long, keys array<long>, places array<int>")
+    return rows.mapInArrow(run, "doc_id long, rk long, size long, set_key long, keys array<long>, places array<int>, bits binary")
 
 
 def _may_link(a, b, i, j, percent: int):
@@ -234,6 +265,71 @@ def _meet(batches, percent: int):
         yield pa.RecordBatch.from_arrays(columns, ["crowded", "a", "b"])
 
 
+def _near_pairs(batches, percent: int):
+    """Pairs (a, b) whose sketches allow a link."""
+    begin_task()
+    for batch in batches:
+        a, b = (batch.column(c).to_numpy() for c in ("size_a", "size_b"))
+        raw = [batch.column(c) for c in ("bits_a", "bits_b")]
+        words = [pc.binary_length(r).to_numpy() // 8 for r in raw]
+        keep = np.zeros(len(a), dtype=bool)
+        for wx, wy in set(zip(*(w.tolist() for w in words))):
+            rows = np.flatnonzero((words[0] == wx) & (words[1] == wy))
+            x, y = (np.frombuffer(b"".join(r.take(pa.array(rows)).to_pylist()), "<u8").reshape(len(rows), w) for r, w in zip(raw, (wx, wy)))
+            keep[rows] = near(fold(x, wy), fold(y, wx), a[rows], b[rows], percent)
+        keep = pa.array(np.flatnonzero(keep))
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
+
+
+def thin(sizes: np.ndarray, sketches: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Pairs (i, j) of a crowded place's sets that may link by their sketches.
+    When they are more than ``DENSE`` a set, instead those sets that may link."""
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order]
+    words = np.array([len(sketches[k]) // 8 for k in order])
+    widths = np.unique(words).tolist()  # grow with the sizes
+    begin = np.searchsorted(words, widths)
+    ends = np.append(begin[1:], len(sizes)).tolist()
+    whole = [np.frombuffer(b"".join(sketches[k] for k in order[lo:hi]), "<u8").reshape(hi - lo, w) for lo, hi, w in zip(begin.tolist(), ends, widths)]
+    last = np.searchsorted(percent * sizes, 100 * sizes, side="right")
+    flags, found, total = np.zeros(len(sizes), dtype=bool), [], 0
+    for g, (lo, hi, w) in enumerate(zip(begin.tolist(), ends, widths)):
+        folded = {k: fold(whole[k], w) for k in range(g, len(widths)) if begin[k] < last[hi - 1]}
+        for i in range(lo, hi):
+            for k, at in folded.items():
+                first, end = max(i + 1, int(begin[k])), min(int(last[i]), ends[k])
+                if first >= end:
+                    continue
+                ok = near(at[first - begin[k] : end - begin[k]], whole[g][i - lo], sizes[first:end], sizes[i], percent)
+                j = first + np.flatnonzero(ok)
+                flags[j] = True
+                flags[i] |= len(j) > 0
+                found.append((np.full(len(j), i), j))
+                total += len(j)
+            if total > DENSE * len(sizes):
+                flags[i + 1 :] = True  # not looked at yet
+                return order[:0], order[:0], np.sort(order[flags])
+    i, j = (np.concatenate(c) for c in zip(*found)) if found else (order[:0], order[:0])
+    return order[i], order[j], None
+
+
+def _thin_crowds(batches, percent: int):
+    """Crowded places as ``_meet`` gives them, thinned: pairs, and (key, set) of
+    what stays crowded, under a key that equal crowds share."""
+    begin_task()
+    for table, _ in _groups(batches, ["key", "set_key", "size", "bits"], ["key"]):
+        nodes, sizes = table.column("set_key").to_numpy(), table.column("size").to_numpy()
+        for lo, hi in _bounds(table, ["key"]):
+            own = nodes[lo:hi]
+            i, j, dense = thin(sizes[lo:hi], table.column("bits").slice(lo, hi - lo).to_pylist(), percent)
+            if dense is not None:
+                b = own[dense]
+                a = np.full(len(b), mix(b.view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
+            else:
+                a, b = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), dense is not None)), pa.array(a), pa.array(b)], ["crowded", "a", "b"])
+
+
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
@@ -276,7 +372,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     edge = boundary(sizes, float(np.median(used)) if len(used) else 0.0, percent)
     sets = work.table(sketch(docs, counters, edge, width, percent), "sets")
     classes = sets.where("size > 0").groupBy("set_key").agg(
-        F.min("rk").alias("rk"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("places").alias("places")
+        F.min("rk").alias("rk"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("places").alias("places"), F.first("bits").alias("bits")
     )
     classes = work.table(classes, "classes")
     members = work.table(sets.select("doc_id", "rk", "size", "set_key"), "members")
@@ -286,8 +382,19 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     )
     dealt = rows.repartition("key").sortWithinPartitions("key", "set_key")
     met = work.table(dealt.mapInArrow(lambda b: _meet(b, percent), MET), "met")
-    pairs = work.table(met.where("not crowded").select("a", "b").distinct(), "pairs")
-    crowds = met.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("set_key"))
+
+    def sketch_of(side: str) -> DataFrame:
+        return classes.select(F.col("set_key").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}"))
+
+    # what the sketches tell apart goes before any set is moved
+    places = met.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("set_key")).join(classes.select("set_key", "size", "bits"), "set_key")
+    places = places.select("key", "set_key", "size", "bits").repartition("key").sortWithinPartitions("key", "set_key")
+    thinned = work.table(places.mapInArrow(lambda b: _thin_crowds(b, percent), MET), "thinned")
+    some = met.where("not crowded").select("a", "b").distinct().join(sketch_of("a"), "a").join(sketch_of("b"), "b")
+    some = some.select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(lambda b: _near_pairs(b, percent), "a long, b long")
+    pairs = work.table(some.unionByName(thinned.where("not crowded").select("a", "b")).distinct(), "pairs")
+    crowds = work.table(thinned.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("set_key")).distinct(), "crowds")
+    work.drop("met", "thinned")
     needed = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).unionByName(crowds.select("set_key")).distinct()
     wanted = work.table(needed.join(classes.select("set_key", "rk"), "set_key"), "wanted")
     work.drop("classes")
@@ -333,7 +440,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
 
     gathered = crowds.select("key", "set_key").join(items, "set_key").repartition("key").sortWithinPartitions("key", "set_key")
     links = work.table(links.unionByName(gathered.mapInArrow(crowd, "a long, b long")), "links")
-    work.drop("met", "pairs", "wanted", "items")
+    work.drop("pairs", "crowds", "wanted", "items")
     groups = components(links, work)
     placed = members.join(groups.withColumnRenamed("node", "set_key"), "set_key", "left")
     placed = placed.select("doc_id", "rk", F.col("size").alias("n_shingles"), "set_key", F.coalesce("component", "set_key").alias("component"))

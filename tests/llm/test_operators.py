@@ -264,6 +264,48 @@ def test_jaccard_components(spark, monkeypatch, width, percent, crowd):
     assert sorted(ids) == sorted({v for n, v in want.values() if n})
 
 
+@pytest.mark.parametrize("crowd", [32, 4])
+def test_jaccard_moves_only_sets_that_may_link(spark, monkeypatch, crowd):
+    """Texts that meet in a shared rare passage but differ elsewhere: their sets
+    are told apart by sketches and not sent to be verified."""
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    moved, table = {}, Workspace.table
+
+    def counted(self, df, name, *args, **kwargs):
+        out = table(self, df, name, *args, **kwargs)
+        moved[name] = moved.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(Workspace, "table", counted)
+    texts = [f"{passage(500)} {passage(1000 + k, 90)}" for k in range(20)]  # alike in a third of their words
+    near = passage(7, 200).split()
+    texts += [" ".join(near), " ".join([*near[:-1], "zzz"])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(docs, 3, 90).collect()}
+    assert got == {**{k: k for k in range(20)}, 20: 20, 21: 20}
+    assert moved["items"] == 2
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_jaccard_sketches_lose_no_link(monkeypatch, percent):
+    rng = np.random.default_rng(percent)
+    bases = [rng.integers(0, 1 << 63, size=n, dtype=np.uint64) for n in (3, 60, 64, 70, 130, 250)]
+    sets = []
+    for k in range(120):
+        base, m = bases[k % len(bases)], int(rng.integers(0, 30))
+        m = m * len(base) // 200
+        sets.append(np.unique(np.concatenate([base[m:], rng.integers(0, 1 << 63, size=m // 2, dtype=np.uint64)])))
+    links = {(i, j) for i in range(120) for j in range(i + 1, 120) if jaccard_join.linked(sets[i], sets[j], percent)}
+    sizes, sketches = np.array([len(s) for s in sets]), [jaccard_join.parity(s).tobytes() for s in sets]
+    monkeypatch.setattr(jaccard_join, "DENSE", 1)
+    i, j, dense = jaccard_join.thin(sizes, sketches, percent)
+    assert len(links) > 120 and {k for pair in links for k in pair} <= set(dense.tolist())
+    monkeypatch.setattr(jaccard_join, "DENSE", 120)
+    i, j, dense = jaccard_join.thin(sizes, sketches, percent)
+    found = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
+    assert dense is None and found >= links
+
+
 def test_jaccard_matches_sql(spark, empty):
     got = jaccard_join.op3_jaccard_join(spark, DATA).toPandas()
     assert rows(got) == rows(tables().execute(jaccard_join.JACCARD_SQL).df())
