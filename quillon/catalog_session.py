@@ -229,15 +229,17 @@ def control_registers(spark, sf_dir):
 def snapshots_kept(spark, sf_dir):
     """The snapshots that a reader still holds at the end: the last eight."""
     rows = _table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    struct = F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("rows")
 
-    def run(events):
-        sender, receiver = Encoder(), Decoder()
-        for e in events:
-            receiver.receive(sender.send(("snapshot", e["event_id"], 0, ("scalar", e["value"]))))
-        return [{"event_id": k, "value": m[1]} for k, m in receiver.state.snapshots.items()]
+    def step(pair, e):
+        sender, receiver = pair
+        receiver.receive(sender.send(("snapshot", e["event_id"], 0, ("scalar", e["value"]))))
+
+    def end(pair):
+        return {"held": [{"event_id": k, "value": m[1]} for k, m in pair[1].state.snapshots.items()]}
 
-    held = encode.per_row(rows.groupBy("user_id").agg(struct), "held", "array<struct<event_id: bigint, value: double>>", ["rows"], run)
+    held = encode.session_ends(
+        rows, ["user_id"], ["event_id", "value"], ["event_id", "value"], lambda: (Encoder(), Decoder()), step, "held array<struct<event_id: bigint, value: double>>", end
+    )
     return held.select("user_id", F.inline("held"))
 
 

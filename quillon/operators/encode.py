@@ -2,11 +2,12 @@
 
 Groups are dealt by their block columns and handed to Python as Arrow tables,
 one block at a time; blocks are bounded by the format's limit of 2**20 values.
+Sessions have no such bound: their rows come sorted and are taken in slices.
 """
 
 from __future__ import annotations
 
-import copy
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -160,18 +161,61 @@ def payload_hash(df: DataFrame, column: str, name: str = "hash") -> DataFrame:
     return per_row(df, name, "bigint", [column], lambda raw: None if raw is None else (session.fnv1a(raw) + (1 << 63)) % (1 << 64) - (1 << 63))
 
 
+def _plain(array: pa.Array) -> list:
+    """``to_pylist``, with numbers and records in lists taken by column."""
+    kind = array.type
+    if pa.types.is_list(kind) and not array.null_count:
+        cells, ends = _plain(array.flatten()), array.value_lengths().to_numpy().cumsum().tolist()
+        return [cells[lo:hi] for lo, hi in zip([0, *ends], ends)]
+    if pa.types.is_struct(kind) and not array.null_count and kind.num_fields:
+        names = [f.name for f in kind]
+        return [dict(zip(names, row)) for row in zip(*map(_plain, array.flatten()))]
+    if not array.null_count and (pa.types.is_integer(kind) or pa.types.is_float64(kind) or pa.types.is_boolean(kind)):
+        return array.to_numpy(zero_copy_only=False).tolist()
+    return array.to_pylist()
+
+
+def _rows(part: pa.RecordBatch, columns: Names) -> list[dict]:
+    return [dict(zip(columns, row)) for row in zip(*(_plain(part.column(c)) for c in columns))]
+
+
+#: Rows that a session's task holds as Python values.
+SESSION_ROWS = 256
+
+
+def _ranked(df: DataFrame, key: Names, order: Names) -> DataFrame:
+    """Rows dealt by ``key``, and sorted by it and ``order``.  The number of parts
+    is given, as few long sessions would else be joined in one task."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *key).sortWithinPartitions(*key, *(F.asc_nulls_last(c) for c in order))
+
+
+def _in_order(batches, key: Names, begin) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of sorted batches, with each row's session: a key's first row
+    gets a new one from ``begin()``."""
+    at, now = None, None
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SESSION_ROWS):
+            part, sessions = batch.slice(lo, SESSION_ROWS), []
+            for place in zip(*(_plain(part.column(c)) for c in key)):
+                if now is None or place != at:
+                    at, now = place, begin()
+                sessions.append(now)
+            yield part, sessions
+
+
 def session_frames(df: DataFrame, key: Names, order: Names, columns: Names, send) -> DataFrame:
     """(key, order, frame): one session per key, ``send(encoder, row)`` for each
-    record in order.  A key's records are one Arrow table in one task."""
+    record in order."""
     kinds = _fields(df, [*key, *order])
 
-    def run(table: pa.Table) -> pa.Table:
-        sender, ranked = session.Encoder(), _sorted(table, order)
-        raw = [send(sender, row) for row in ranked.select(columns).to_pylist()]
-        return pa.Table.from_arrays([*(ranked.column(c) for c in [*key, *order]), pa.array(raw, pa.binary())], [*key, *order, "frame"])
+    def run(batches):
+        for part, senders in _in_order(batches, key, session.Encoder):
+            raw = [send(sender, row) for sender, row in zip(senders, _rows(part, columns))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*key, *order]), pa.array(raw, pa.binary())], [*key, *order, "frame"])
 
     rows = df.select(*dict.fromkeys([*key, *order, *columns]))
-    return rows.select(*key, *order, *(c for c in rows.columns if c not in (*key, *order))).groupBy(*key).applyInArrow(run, f"{kinds}, frame binary")
+    return _ranked(rows, key, order).mapInArrow(run, f"{kinds}, frame binary")
 
 
 def session_values(df: DataFrame, key: Names, order: Names, fields: str, read, schemas: tuple = ()) -> DataFrame:
@@ -179,20 +223,51 @@ def session_values(df: DataFrame, key: Names, order: Names, fields: str, read, s
     the fields of each frame in order."""
     target = df.sparkSession.createDataFrame([], fields).schema
 
-    def run(table: pa.Table) -> pa.Table:
-        receiver = session.Decoder(schemas)
-        ranked = _sorted(table, order) if order else table
-        got = [read(receiver, raw) for raw in ranked.column("frame").to_pylist()]
-        values = [pa.array([g[f.name] for g in got], t.type) for f, t in zip(target, _arrow_struct(target))]
-        return pa.Table.from_arrays([*(ranked.column(c) for c in [*key, *order]), *values], [*key, *order, *target.names])
+    def run(batches):
+        for part, receivers in _in_order(batches, key, lambda: session.Decoder(schemas)):
+            got = [read(receiver, raw) for receiver, raw in zip(receivers, part.column("frame").to_pylist())]
+            values = [pa.array([g[f.name] for g in got], t.type) for f, t in zip(target, _arrow_struct(target))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*key, *order]), *values], [*key, *order, *target.names])
 
     kinds = _fields(df, [*key, *order])
-    return df.select(*key, *order, "frame").groupBy(*key).applyInArrow(run, f"{kinds}, {fields}")
+    return _ranked(df.select(*key, *order, "frame"), key, order).mapInArrow(run, f"{kinds}, {fields}")
+
+
+def session_ends(df: DataFrame, key: Names, order: Names, columns: Names, begin, step, fields: str, end) -> DataFrame:
+    """(key, fields): one session per key, made by ``begin()``; after ``step(session,
+    row)`` for each row in order, ``end(session)`` gives the fields."""
+    target = df.sparkSession.createDataFrame([], fields).schema
+    kinds = _arrow_struct(df.select(*key).schema)
+
+    def run(batches):
+        done, at, now = [], (), None
+
+        def flush():
+            keys = [pa.array(c, t.type) for c, t in zip(zip(*(k for k, _ in done)), kinds)]
+            values = [pa.array([v[f.name] for _, v in done], t.type) for f, t in zip(target, _arrow_struct(target))]
+            return pa.RecordBatch.from_arrays([*keys, *values], [*key, *target.names])
+
+        for part, sessions in _in_order(batches, key, begin):
+            for own, place, row in zip(sessions, zip(*(_plain(part.column(c)) for c in key)), _rows(part, columns)):
+                if own is not now:
+                    if now is not None:
+                        done.append((at, end(now)))
+                    at, now = place, own
+                step(own, row)
+            if len(done) >= SESSION_ROWS:
+                yield flush()
+                done.clear()
+        if now is not None:
+            done.append((at, end(now)))
+            yield flush()
+
+    rows = df.select(*dict.fromkeys([*key, *order, *columns]))
+    return _ranked(rows, key, order).mapInArrow(run, f"{_fields(df, key)}, {fields}")
 
 
 def message_of(receiver: session.Decoder, raw: bytes) -> tuple:
     """What a frame says itself, read on a copy of the session."""
-    return session.FrameReader(copy.deepcopy(receiver.state), raw).message()
+    return session.FrameReader(receiver.state.fork(), raw).message()
 
 
 def message_kind(frame: str) -> Column:

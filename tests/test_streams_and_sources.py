@@ -2,9 +2,16 @@
 
 import json
 
+import pyarrow as pa
+import pytest
+
+import __spark_entry__  # noqa: F401  registers the queries
+from quillon import catalog
+from quillon.operators import encode
 from quillon.operators.session import Field, Schema
 from quillon.sources import frames, schemas
 from quillon.streaming import sessions
+from tests.oracle import DATA
 
 
 def test_frame_files(spark, tmp_path):
@@ -86,3 +93,24 @@ def test_options_round_trip():
     for wrong in ({"snapshots": -1}, {"snapshots": 1.5}, {"unknown": "later"}):
         with pytest.raises(ValueError):
             SessionOptions(**wrong)
+
+
+@pytest.mark.parametrize("name", ["micro_batch_templates", "micro_batch_roundtrip", "snapshots_kept"])
+def test_sessions_are_streamed(spark, name):
+    """No session is collected into one table or array of its events."""
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan
+    assert name != "snapshots_kept" or "collect_list" not in plan
+
+
+def test_sessions_go_on_across_slices(spark, monkeypatch):
+    events = [(k, i, float(i % 5)) for k in range(3) for i in range(40)]
+    df = spark.createDataFrame(events, "k long, i long, v double")
+    batches = [pa.RecordBatch.from_pydict({"k": [0] * 5 + [1] * 7, "i": [*range(5), *range(7)]}), pa.RecordBatch.from_pydict({"k": [1] * 3 + [2], "i": [7, 8, 9, 0]})]
+    monkeypatch.setattr(encode, "SESSION_ROWS", 4)
+    parts = list(encode._in_order(batches, ["k"], list))
+    assert [p.num_rows for p, _ in parts] == [4, 4, 4, 4]
+    owners = [s for _, sessions in parts for s in sessions]
+    assert len({id(s) for s in owners}) == 3 and len({id(s) for s in owners[5:15]}) == 1
+    ends = encode.session_ends(df, ["k"], ["i"], ["i", "v"], list, lambda s, row: s.append(row["v"]), "n bigint, total double", lambda s: {"n": len(s), "total": sum(s)})
+    assert sorted(map(tuple, ends.collect())) == [(k, 40, 80.0) for k in range(3)]
