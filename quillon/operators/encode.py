@@ -149,7 +149,10 @@ def decode_rows(df: DataFrame, frame: str = "frame", name: str = "json") -> Data
 
 
 def code_lanes(df: DataFrame, column: str, coder: int, name: str = "coded") -> DataFrame:
-    return per_row(df, name, "binary", [column], lambda raw: None if raw is None else control.ENCODE[coder](bytes(raw)))
+    """Adds each lane's frame.  Rows are dealt out first: coding takes far longer
+    than reading, and a table in few files would be coded by few tasks."""
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return per_row(dealt, name, "binary", [column], lambda raw: None if raw is None else control.ENCODE[coder](bytes(raw)))
 
 
 def decode_lanes(df: DataFrame, column: str, coder: int, name: str = "lane") -> DataFrame:

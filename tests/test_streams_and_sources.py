@@ -1,14 +1,20 @@
 """Frame files, schemas, and the streaming twins of the session operators."""
 
+import copy
 import json
+import random
 
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__  # noqa: F401  registers the queries
 from quillon import catalog
+from quillon.functions import control
+from quillon.functions.wire import WireError
 from quillon.operators import encode
-from quillon.operators.session import Field, Schema
+from quillon.operators.session import Decoder, Encoder, Field, Schema
 from quillon.sources import frames, schemas
 from quillon.streaming import sessions
 from tests.oracle import DATA
@@ -114,3 +120,40 @@ def test_sessions_go_on_across_slices(spark, monkeypatch):
     assert len({id(s) for s in owners}) == 3 and len({id(s) for s in owners[5:15]}) == 1
     ends = encode.session_ends(df, ["k"], ["i"], ["i", "v"], list, lambda s, row: s.append(row["v"]), "n bigint, total double", lambda s: {"n": len(s), "total": sum(s)})
     assert sorted(map(tuple, ends.collect())) == [(k, 40, 80.0) for k in range(3)]
+
+
+@pytest.mark.parametrize("coder", [control.HUFFMAN, control.FSE])
+def test_lanes_of_one_file_are_coded_by_many_tasks(spark, coder):
+    rows = spark.range(400, numPartitions=1).select(F.encode(F.concat(F.lit("lane "), "id"), "UTF-8").alias("raw"))
+    coded = encode.code_lanes(rows, "raw", coder)
+    assert coded.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all(control.DECODE[coder](bytes(r.coded)) == bytes(r.raw) for r in coded.collect())
+
+
+def test_shares_round_as_one_at_a_time():
+    rng = random.Random(5)
+    for _ in range(300):
+        counts = {s: rng.choice([1, 2, 7, rng.randint(1, 3000)]) for s in rng.sample(range(256), rng.randint(1, 80))}
+        total, share = sum(counts.values()), {s: max(n * 256 // sum(counts.values()), 1) for s, n in sorted(counts.items())}
+        rest = lambda s: counts[s] * 256 - share[s] * total
+        while (gap := 256 - sum(share.values())) != 0:
+            if gap > 0:
+                share[max(share, key=lambda s: (rest(s), -s))] += 1
+            else:
+                share[min((s for s in share if share[s] > 1), key=lambda s: (rest(s), s))] -= 1
+        assert control._shares(counts) == share
+
+
+def test_a_reader_forks_its_state():
+    """A frame is read on a copy that shares what the state holds, and a bad one changes nothing."""
+    sender, receiver = Encoder(), Decoder()
+    for k in range(9):
+        receiver.decode(sender.encode({"id": k, "name": f"n{k % 3}"}))
+        receiver.receive(sender.send(("snapshot", k, 0, ("scalar", float(k)))))
+    held = dict(receiver.state.snapshots)
+    before = copy.deepcopy(receiver.state)
+    with pytest.raises(WireError):
+        receiver.receive(sender.send(("snapshot", 77, 0, ("scalar", 1.5))) + b"x")
+    assert receiver.state == before
+    receiver.receive(sender.encode({"id": 1, "name": "n1"}))
+    assert all(receiver.state.snapshots[k] is m for k, m in held.items())
